@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnwise.lineage import durable
 
 SEGMENT_BITS = 20
+SALTS = 16
 
 
 def int_segment(order: str, bits: int = SEGMENT_BITS) -> Column:
@@ -81,13 +82,15 @@ def carry(
     return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left",
-           salts: int = 16) -> DataFrame:
-    """Join to a table that is unique on ``on`` when many rows of ``df`` may share one key.
+def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str] = (), how: str = "left") -> DataFrame:
+    """Join to a table that is unique on ``on``; many rows of ``df`` may share one key.
 
-    ``spread`` names columns that differ between such rows. Their hash deals a hot key over
-    ``salts`` tasks; adaptive skew handling can split each of those again.
+    Without ``spread`` the join is plain: adaptive skew handling splits a hot key of ``df`` at run
+    time. For a ``dim`` of far fewer rows than ``df``, name in ``spread`` columns that differ between
+    rows of one key: their hash deals the key over 16 tasks, each with its copy of the ``dim`` row.
     """
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if not spread:
+        return df.join(dim, list(on), how)
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
