@@ -1,3 +1,3 @@
 """Jobs and registered queries."""
-from turnwise.plans import log_queries, prose_queries, tree_queries  # noqa: F401
+from turnwise.plans import change_queries, log_queries, prose_queries, tree_queries  # noqa: F401
 from turnwise.plans.registry import ORACLES, QUERIES  # noqa: F401
