@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
-from turnwise.operators.ordered import carry, range_segments
+from turnwise.operators.ordered import carry, lookup, range_segments
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -113,7 +113,7 @@ def exact_medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     cut = range_segments(counts, [*keys, value])
     ranked = carry(cut, keys, [value], F.col("_seg"), total={"_upto": F.col("_n")})
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    at = ranked.join(sizes, keys)
+    at = lookup(ranked, sizes, keys, [value], "inner")
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     holds = lambda r: (F.col("_upto") >= r) & (F.col("_upto") - F.col("_n") < r)
     return at.where(holds(low) | holds(high)).groupBy(*keys).agg(
@@ -127,7 +127,7 @@ def ab_benchmark(runs: DataFrame, min_runs: int = 5, lower_is_better: bool = Tru
     side is inconclusive; a difference inside the wider spread is none.
     """
     most = runs.groupBy("bench").agg(F.max("work").alias("_most"))
-    good = runs.join(most, "bench").where((F.col("errors") == 0) & (F.col("work") == F.col("_most")))
+    good = lookup(runs, most, ["bench"], ["value", "side"], "inner").where((F.col("errors") == 0) & (F.col("work") == F.col("_most")))
     facts = good.groupBy("bench", "side").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     sides = facts.join(exact_medians(good, ["bench", "side"], "value"), ["bench", "side"])
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
