@@ -1,16 +1,16 @@
 """Lineage cuts that survive the loss of an executor."""
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder every executor can read.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
-    that names none gets a temporary one.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session that
+    names none gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,4 +19,14 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
             folder = tempfile.mkdtemp(prefix="turnwise-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
