@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
-from turnwise.functions.text import LINE_BREAK, col, strip
+from turnwise.functions.text import col, strip, unified_lines
 
 _QUOTED = r"(?:\"[^\"\n]*\"|'[^'\n]*')"
 _END = r"[ \t]*;?[ \t]*"
@@ -41,10 +41,6 @@ PYTHON_BLOCK = _block_pattern("@|#")
 PLAIN_BLOCK = _block_pattern(None)
 
 
-def unified_lines(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), LINE_BREAK, "\n")
-
-
 def strip_imports(path: Column | str, text: Column | str) -> Column:
     """The text without its import and re-export statements and without ``export`` in front of declarations."""
     path, text = col(path), unified_lines(text)

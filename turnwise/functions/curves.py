@@ -1,6 +1,9 @@
 """Easing curves."""
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from turnwise import lexicons as lx
 
@@ -18,21 +21,25 @@ def control_points(easing: Column) -> Column:
     return F.when((inside != "") & (F.size(given) == 4), given).otherwise(named)
 
 
-def _axis(a: Column, b: Column, t: Column) -> Column:
+def _axis(a, b, t):
     u = 1 - t
     return 3 * a * t * u * u + 3 * b * t * t * u + t * t * t
 
 
-def curve_value(points: Column, x: Column) -> Column:
-    """Progress of the curve at time share ``x``, by halving an interval 40 times."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+@F.pandas_udf(DoubleType())
+def _progress(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, x: pd.Series) -> pd.Series:
+    a1, b1, a2, b2, at = (s.to_numpy(dtype=float) for s in (x1, y1, x2, y2, x))
+    lo, hi = np.zeros(len(at)), np.ones(len(at))
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        left = _axis(a1, a2, mid) < at
+        lo, hi = np.where(left, mid, lo), np.where(left, hi, mid)
+    return pd.Series(_axis(b1, b2, (lo + hi) / 2))
 
-    def halve(s, _):
-        mid = (s["lo"] + s["hi"]) / 2
-        left = _axis(points[0], points[2], mid) < x
-        return F.struct(F.when(left, mid).otherwise(s["lo"]).alias("lo"), F.when(left, s["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: _axis(points[1], points[3], (s["lo"] + s["hi"]) / 2))
+def curve_value(points: Column, x: Column) -> Column:
+    """Progress of the curve at time share ``x``, by halving an interval 40 times, a batch of rows at once."""
+    return _progress(points[0], points[1], points[2], points[3], x)
 
 
 def easing_family(easing: Column) -> Column:

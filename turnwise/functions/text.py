@@ -1,9 +1,11 @@
 """Text columns."""
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\r\f\x0b"
-LINE_BREAK = r"\r\n|[\n\r\f\x0B\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+RARE_BREAKS = "\r\f\x0b\x1c\x1d\x1e\x85\u2028\u2029"
 SENTENCE_MARK = "\u001f"
 
 
@@ -20,6 +22,15 @@ def present(c: Column | str) -> Column:
     return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
 
 
+def unroll(df: DataFrame, keep: Sequence[Column | str], array: Column | str, name: str, pos: str = "_pos") -> DataFrame:
+    """One row per element of an array, with its place.
+
+    A plain explode makes the optimizer work the array out again in a filter on its size, so costly
+    arrays take the outer form and drop its empty rows.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(F.col(pos).isNotNull())
+
+
 def head(c: Column | str, n: int) -> Column:
     return F.left(col(c), F.lit(n))
 
@@ -54,14 +65,23 @@ def utf16_length(c: Column | str) -> Column:
     return (F.octet_length(F.encode(col(c), "UTF-16BE")) / 2).cast("int")
 
 
-def lines(c: Column | str, every_break: bool = True) -> Column:
-    """Lines of a text; a final line break opens no further line. Empty text has none."""
+def unified_lines(c: Column | str) -> Column:
+    """Every kind of line break as a line feed; texts without the rare kinds pass untouched."""
     c = col(c)
-    pattern = LINE_BREAK if every_break else "\n"
-    if every_break:
-        c = F.regexp_replace(c, rf"(?:{pattern})\z", "")
-        return F.when(F.length(col(c)) == 0, F.array().cast("array<string>")).otherwise(F.split(c, pattern))
-    return F.split(c, pattern)
+    rare = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), RARE_BREAKS, "\n" * len(RARE_BREAKS))
+    has_rare = F.lit(False)
+    for b in RARE_BREAKS:
+        has_rare = has_rare | c.contains(b)
+    return F.when(has_rare, rare).otherwise(c)
+
+
+def lines(c: Column | str, every_break: bool = True) -> Column:
+    """Lines of a text. With ``every_break`` a final break opens no further line and empty text has none."""
+    if not every_break:
+        return F.split(col(c), "\n")
+    text = unified_lines(c)
+    cut = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.when(F.length(col(c)) == 0, F.array().cast("array<string>")).otherwise(F.split(cut, "\n"))
 
 
 def sentences(c: Column | str) -> Column:
@@ -72,10 +92,10 @@ def sentences(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Words, a code span counting as one word and a link as its text."""
-    text = F.regexp_replace(col(c), r"`[^`]*`", "CODE")
-    text = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    text = strip(text)
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"\s+")))
+    c = col(c)
+    text = F.when(c.contains("`"), F.regexp_replace(c, r"`[^`]*`", "CODE")).otherwise(c)
+    text = F.when(text.contains("]("), F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")).otherwise(text)
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def words(c: Column | str, min_chars: int = 1) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnwise import lexicons as lx
 from turnwise.functions.code import code_blocks, first_lost_line
 from turnwise.functions.rules import any_match, matching
+from turnwise.functions.text import unroll
 
 OLD, NEW = "old", "new"
 
@@ -17,7 +18,7 @@ def blocks(files: DataFrame) -> DataFrame:
     ``block_id`` is a digest of the block; the block's text stays out of every later shuffle but
     for its first line.
     """
-    cut = files.select("rev", "path", F.posexplode(code_blocks("path", "text")).alias("pos", "block"))
+    cut = unroll(files, ["rev", "path"], code_blocks("path", "text"), "block", "pos")
     return cut.select(
         "rev", "path", "pos", F.sha2("block", 256).alias("block_id"),
         F.trim(F.substring_index("block", "\n", 1)).alias("first_line"),
@@ -76,7 +77,7 @@ def move_verdict(files: DataFrame) -> DataFrame:
 
 # --- lines --------------------------------------------------------------------------------------
 def lines_of(files: DataFrame) -> DataFrame:
-    return files.select("rev", "path", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
+    return unroll(files, ["rev", "path"], F.split("text", r"\r?\n"), "line", "pos")
 
 
 def signed_lines(lines_df: DataFrame, keys=("line",)) -> DataFrame:
@@ -109,7 +110,7 @@ def weak_assertion(lines_df: DataFrame, rules: Mapping[str, str] = lx.WEAK_ASSER
     """Test lines that prove nothing."""
     rows = lines_df.where(any_match("line", list(rules.values())))
     rest = [c for c in lines_df.columns if c != "line"]
-    return rows.select(*rest, "line", F.explode(matching("line", rules)).alias("rule"))
+    return unroll(rows, [*rest, "line"], matching("line", rules), "rule").drop("_pos")
 
 
 def unnamed_test_change(lines_df: DataFrame, named: DataFrame, assertion: str = r"(?i)\b(assert|expect|should)\b") -> DataFrame:

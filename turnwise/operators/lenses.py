@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
-from turnwise.functions.text import head, lines, strip, words
+from turnwise.functions.text import head, lines, strip, unroll, words
 from turnwise.operators.mining import turn_facts
 from turnwise.operators.ordered import lookup
 
@@ -34,7 +34,7 @@ def skipped_check(events: DataFrame, checks: Mapping[str, tuple[str, str]] = lx.
     facts = turn_facts(events, flags)
     missed = F.array_compact(F.array(*[
         F.when(F.col("claude").rlike(says) & ~F.col(f"ran_{n}"), F.lit(n)) for n, (says, _) in checks.items()]))
-    found = facts.withColumn("_check", F.explode(missed))
+    found = unroll(facts, facts.columns, missed, "_check")
     return _finding(found, "skipped check", F.col("_check"), F.col("claude"))
 
 
@@ -80,7 +80,7 @@ def missed_trigger(requests: DataFrame, triggers: DataFrame, loads: DataFrame, m
     """
     asked = requests.select("request", words("text", min_chars).alias("_words"))
     texts = asked.groupBy("_words").agg(F.count("*").alias("_n")).withColumn("_text", F.xxhash64("_words")).drop("_n")
-    tokens = texts.select("_text", F.explode("_words").alias("word"))
+    tokens = unroll(texts, ["_text"], "_words", "word").drop("_pos")
     wanted = triggers.select("trigger", "skill", words("query", min_chars).alias("_query")).where(F.size("_query") > 0)
 
     query_words = wanted.select("trigger", F.explode("_query").alias("word"))

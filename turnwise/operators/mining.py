@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
-from turnwise.functions.text import first_group, head, present, shipped_name, skill_name, strip, tail, utf16_length
+from turnwise.functions.text import first_group, head, present, shipped_name, skill_name, strip, tail, unroll, utf16_length
 from turnwise.operators.ordered import carry, int_segment
 
 PAGE_BITS = 27
@@ -126,8 +126,8 @@ def reply_exchanges(state: DataFrame, correction: str = lx.CORRECTION, asks: str
 
 def result_exchanges(state: DataFrame, asked: DataFrame) -> DataFrame:
     """ASK rows for answers that left the defaults, REJECTED rows for refused tools."""
-    rows = state.where((F.col("type") == "user") & ~F.col("is_command")).select(
-        "file", "project", "session", "seq", "active_skill", "before", F.posexplode("results").alias("pos", "r"))
+    rows = unroll(state.where((F.col("type") == "user") & ~F.col("is_command")),
+                  ["file", "project", "session", "seq", "active_skill", "before"], "results", "r", "pos")
     text = F.col("r.text")
     rows = rows.withColumns({"_default": took_defaults(text), "_no": is_rejected(text)}).where(~F.col("_default") | F.col("_no"))
     rows = rows.join(asked.select("file", "seq", "pos", "question"), ["file", "seq", "pos"], "left")
@@ -222,7 +222,7 @@ def turn_facts(events: DataFrame, flags: Mapping[str, Column], peer: str = lx.PE
 def turn_calls(events: DataFrame, peer: str = lx.PEER) -> DataFrame:
     """One row per tool call with its turn."""
     rows = turn_id(events.select("file", "project", "session", "seq", "type", "said", "calls"), peer)
-    return rows.select("file", "project", "session", "turn_id", "seq", F.posexplode("calls").alias("pos", "b")).select(
+    return unroll(rows, ["file", "project", "session", "turn_id", "seq"], "calls", "b", "pos").select(
         "file", "project", "session", "turn_id", "seq", "pos", "b.name", "b.line")
 
 

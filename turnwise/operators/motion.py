@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
 from turnwise.functions.curves import control_points, curve_value, easing_family
+from turnwise.functions.text import unroll
 from turnwise.operators.ordered import carry
 
 
@@ -20,7 +21,7 @@ def motion_residual(samples: DataFrame, segment: Column) -> DataFrame:
 def duration_band(motions: DataFrame, bands: dict[str, tuple[float, float]] = lx.DURATION_BANDS) -> DataFrame:
     """Whether a motion (motion, kind, duration) lies in the band of its kind. The bands sit in the plan."""
     pairs = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for k, (lo, hi) in bands.items()])
-    rows = motions.withColumn("b", F.explode(F.filter(pairs, lambda b: b["band"] == F.col("kind"))))
+    rows = unroll(motions, motions.columns, F.filter(pairs, lambda b: b["band"] == F.col("kind")), "b")
     return rows.select("motion", "b.band", "duration", F.col("duration").between(F.col("b.lo"), F.col("b.hi")).alias("inside"))
 
 
@@ -36,7 +37,7 @@ def motion_rules(motions: DataFrame, stagger_ms: tuple[int, int] = lx.STAGGER_MS
         F.when(family == "in", "ease-in"),
         F.when(moving & (family != "out") & (family != "in"), "enter and exit ease out"),
         F.when((family == "linear") & ~moving & (phase != "constant"), "linear without constant motion")))
-    easing = motions.select("motion", F.explode(broken).alias("rule"))
+    easing = unroll(motions, ["motion"], broken, "rule").drop("_pos")
     pairs = motions.groupBy("component").agg(
         F.max(F.when(phase == "exit", F.col("duration"))).alias("exit"), F.min(F.when(phase == "enter", F.col("duration"))).alias("enter"))
     slow = motions.where("phase = 'exit'").join(pairs, "component").where(F.col("duration") >= F.col("enter"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnwise import lexicons as lx
 from turnwise.functions.calls import (gate_verdict, glob_pattern, mode_name, path_allowed, prefixes, required_mode,
                                       working_file_reason)
+from turnwise.functions.text import unroll
 from turnwise.operators.ordered import SALTS
 
 
@@ -46,7 +47,7 @@ def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``paths``: path. ``roots``: root. A path below no root is left out.
     """
-    up = paths.select("path", F.explode(prefixes(F.col("path"))).alias("root")).where(F.col("root") != F.col("path"))
+    up = unroll(paths, ["path"], prefixes(F.col("path")), "root").drop("_pos").where(F.col("root") != F.col("path"))
     up = up.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
     known = roots.select("root").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     best = up.join(known, ["root", "_salt"], "left_semi").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
@@ -79,7 +80,7 @@ def path_to_feature(changed: DataFrame, feature_paths: DataFrame) -> DataFrame:
     folder = F.when(is_glob, F.regexp_replace(fixed, r"/?[^/]*$", "")).otherwise(F.regexp_replace("pattern", "/$", ""))
     listed = feature_paths.select("feature", "pattern", folder.alias("at"), is_glob.alias("glob"),
                                   F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    up = changed.select("path", F.explode(F.concat(F.array(F.lit("")), prefixes(F.col("path")))).alias("at")).distinct()
+    up = unroll(changed.distinct(), ["path"], F.concat(F.array(F.lit("")), prefixes(F.col("path"))), "at").drop("_pos")
     up = up.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
     pairs = up.join(listed, ["at", "_salt"])
     whole = (F.col("at") == F.col("path")) & ~F.col("pattern").endswith("/")
@@ -123,7 +124,7 @@ def matcher_cross(actions: DataFrame, matchers: Sequence[tuple[str, str]]) -> Da
         return out
 
     hooks = F.array_compact(F.array(*[F.when(covers(m), F.lit(h)) for h, m in matchers]))
-    return actions.withColumn("hook", F.explode(hooks))
+    return unroll(actions, actions.columns, hooks, "hook").drop("_pos")
 
 
 def settings_drift(source: DataFrame, live: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
 from turnwise.functions.rules import any_match, hex_reference, hit_counts
-from turnwise.functions.text import body, lines, present, sentences, strip, word_count
+from turnwise.functions.text import body, lines, present, sentences, strip, unroll, word_count
 
 
 def fence_state(docs: DataFrame, every_break: bool = True) -> DataFrame:
@@ -23,7 +23,7 @@ def fence_state(docs: DataFrame, every_break: bool = True) -> DataFrame:
         F.transform("_lines", lambda s, i: F.when(F.ltrim(s, F.lit(" \t\n\r\f\x0b")).startswith("```"), i + 1)), lambda x: x.isNotNull())
     rows = rows.withColumn("_marks", F.when(F.col("text").contains("```"), marks).otherwise(F.array().cast("array<int>")))
     rest = [c for c in docs.columns if c != "text"]
-    out = rows.select(*rest, "_marks", F.posexplode("_lines").alias("_pos", "line"))
+    out = unroll(rows, [*rest, "_marks"], "_lines", "line")
     no = F.col("_pos") + 1
     return out.select(
         *rest, no.alias("line_no"), "line", F.array_contains("_marks", no).alias("is_fence"),
@@ -43,14 +43,14 @@ def prose_lines(docs: DataFrame, max_words: int = lx.MAX_WORDS, max_step_words:
     piece = F.when(is_table, cells).when(is_step, F.array(F.regexp_extract("line", step, 1))).otherwise(F.array("line"))
     kind = F.when(is_table, "cell").when(is_step, "step").otherwise("line")
     limit = F.when(is_step, max_step_words).otherwise(max_words)
-    return rows.select(*rest, "line_no", kind.alias("kind"), limit.alias("limit"), F.posexplode(piece).alias("part", "text"))
+    return unroll(rows, [*rest, "line_no", kind.alias("kind"), limit.alias("limit")], piece, "text", "part")
 
 
 def long_sentences(docs: DataFrame, max_words: int = lx.MAX_WORDS, max_step_words: int = lx.MAX_STEP_WORDS) -> DataFrame:
     """Sentences over their word limit."""
     rest = [c for c in docs.columns if c != "text"]
-    rows = prose_lines(docs, max_words, max_step_words).select(
-        *rest, "line_no", "kind", "limit", "part", F.posexplode(sentences("text")).alias("pos", "sentence"))
+    pieces = prose_lines(docs, max_words, max_step_words)
+    rows = unroll(pieces, [*rest, "line_no", "kind", "limit", "part"], sentences("text"), "sentence", "pos")
     return rows.withColumn("words", word_count("sentence")).where(F.col("words") > F.col("limit"))
 
 
@@ -59,7 +59,7 @@ def banned_terms(docs: DataFrame, lexicon: str = lx.BANNED) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     rows = fence_state(docs).where(~F.col("is_fence") & ~F.col("in_fence"))
     seen = F.regexp_replace(F.regexp_replace("line", r"`[^`]*`", " "), r"\]\([^)]*\)", "]")
-    return rows.select(*rest, "line_no", F.posexplode(F.regexp_extract_all(seen, F.lit(lexicon), 0)).alias("pos", "term"))
+    return unroll(rows, [*rest, "line_no"], F.regexp_extract_all(seen, F.lit(lexicon), 0), "term", "pos")
 
 
 def heading_schema(docs: DataFrame, name: Column, expected: Column, max_lines: int = lx.MAX_LINES) -> DataFrame:
@@ -73,13 +73,14 @@ def heading_schema(docs: DataFrame, name: Column, expected: Column, max_lines: i
         F.when(~title_ok, "title"),
         F.when(F.col("_found") != expected, "headings"),
         F.when(F.size("_lines") > max_lines, "length")))
-    return rows.select(*rest, F.size("_lines").alias("n_lines"), F.array_join("_found", "|").alias("found"), F.explode(broken).alias("rule"))
+    keep = [*rest, F.size("_lines").alias("n_lines"), F.array_join("_found", "|").alias("found")]
+    return unroll(rows, keep, broken, "rule").drop("_pos")
 
 
 def tell_catalogue(docs: DataFrame, rules: Mapping[object, str] | None = None) -> DataFrame:
     """Rule hits per document."""
     rest = [c for c in docs.columns if c != "text"]
-    hits = docs.select(*rest, F.explode(hit_counts("text", rules or lx.TELLS)).alias("h"))
+    hits = unroll(docs, rest, hit_counts("text", rules or lx.TELLS), "h")
     return hits.select(*rest, "h.rule", "h.hits")
 
 
@@ -91,10 +92,10 @@ def doc_limits(docs: DataFrame, imperative: str, max_words: int = lx.MAX_WORDS,
     """
     rest = [c for c in docs.columns if c != "text"]
     blank = r"(?:\r?\n[ \t]*){2,}"
-    paras = docs.select(*rest, F.posexplode(F.filter(F.split("text", blank), lambda p: present(p))).alias("para", "_p"))
+    paras = unroll(docs, rest, F.filter(F.split("text", blank), lambda p: present(p)), "_p", "para")
     paras = paras.withColumn("_s", sentences(F.regexp_replace("_p", r"\s*\r?\n\s*", " ")))
     limit = F.when(F.col("sentence").rlike(imperative), max_step_words).otherwise(max_words)
-    long = paras.select(*rest, "para", F.posexplode("_s").alias("pos", "sentence")).withColumns(
+    long = unroll(paras, [*rest, "para"], "_s", "sentence", "pos").withColumns(
         {"n": word_count("sentence"), "limit": limit}).where("n > limit")
     rule = F.when(F.col("limit") == max_step_words, "instruction").otherwise("sentence")
     wide = paras.where(F.size("_s") > max_sentences).select(
@@ -161,7 +162,7 @@ def note_rules(notes: DataFrame, **options) -> DataFrame:
     text = F.when(F.col("whole"), body("new")).otherwise(added_text(F.coalesce("old", F.lit("")), F.col("new")))
     rows = notes.withColumn("_text", text)
     rest = [c for c in notes.columns if c not in ("old", "new", "whole")]
-    return rows.select(*rest, F.explode(note_reasons(F.col("_text"), F.col("path"), F.col("whole"), **options)).alias("rule"))
+    return unroll(rows, rest, note_reasons(F.col("_text"), F.col("path"), F.col("whole"), **options), "rule").drop("_pos")
 
 
 def instruction_size(files: DataFrame, limit: int = lx.INSTRUCTION_LIMIT) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
+from turnwise.functions.text import unroll
 from turnwise.operators.ordered import carry, lookup, range_segments
 
 
@@ -49,7 +50,7 @@ def rate_windows(samples: DataFrame, now: Column, windows: dict = lx.RATE_WINDOW
     parts = [F.struct(F.lit(n).alias("window"), burn_rate(F.col(f"{n}_pct"), F.col(f"{n}_reset"), now, *w).alias("r"))
              for n, w in windows.items()]
     known = {n: F.col(f"{n}_pct").isNotNull() for n in windows}
-    rows = last.select("session", F.explode(F.array_compact(F.array(*[F.when(known[n], p) for n, p in zip(windows, parts)]))).alias("w"))
+    rows = unroll(last, ["session"], F.array_compact(F.array(*[F.when(known[n], p) for n, p in zip(windows, parts)])), "w")
     return rows.select("session", "w.window", "w.r.*")
 
 

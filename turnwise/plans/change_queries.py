@@ -137,8 +137,9 @@ def first_lost_line(spark, sf_dir):
 
 
 @query(LINES + r"""
-SELECT path, rev, CAST(pos AS INTEGER) AS pos, name AS rule FROM x, (VALUES ('marks', '\*\*\*'), ('bars', '\|\|'), ('hash', '###')) AS r(name, pattern)
-WHERE regexp_matches(line, pattern)""")
+SELECT path, rev, CAST(pos AS INTEGER) AS pos, 'marks' AS rule FROM x WHERE regexp_matches(line, '\*\*\*')
+UNION ALL SELECT path, rev, CAST(pos AS INTEGER), 'bars' FROM x WHERE regexp_matches(line, '\|\|')
+UNION ALL SELECT path, rev, CAST(pos AS INTEGER), 'hash' FROM x WHERE regexp_matches(line, '###')""")
 def weak_assertion(spark, sf_dir):
     """Lines that hit a pattern of weak tests."""
     rules = {"marks": r"\*\*\*", "bars": r"\|\|", "hash": "###"}

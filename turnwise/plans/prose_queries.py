@@ -74,10 +74,11 @@ def fence_state(spark, sf_dir):
 
 @query(r"""
 WITH h AS (
-  SELECT d.doc_id, d.lang, d.source, r.rule, len(regexp_extract_all(d.text, r.pattern)) AS hits
-  FROM documents d, (VALUES
-    ('article', '(?:^|[^\p{L}\p{N}_])(the|la|der|el)[^\p{L}\p{N}_]'), ('marks', '\*\*\*'), ('bar', '\|'),
-    ('mail', '[A-Za-z0-9_.]+@[a-z]+\.[a-z]+'), ('hex', '[0-9a-f]{7,40}')) AS r(rule, pattern))
+SELECT doc_id, lang, source, 'article' AS rule, len(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(the|la|der|el)[^\p{L}\p{N}_]')) AS hits FROM documents
+  UNION ALL SELECT doc_id, lang, source, 'marks' AS rule, len(regexp_extract_all(text, '\*\*\*')) AS hits FROM documents
+  UNION ALL SELECT doc_id, lang, source, 'bar' AS rule, len(regexp_extract_all(text, '\|')) AS hits FROM documents
+  UNION ALL SELECT doc_id, lang, source, 'mail' AS rule, len(regexp_extract_all(text, '[A-Za-z0-9_.]+@[a-z]+\.[a-z]+')) AS hits FROM documents
+  UNION ALL SELECT doc_id, lang, source, 'hex' AS rule, len(regexp_extract_all(text, '[0-9a-f]{7,40}')) AS hits FROM documents)
 SELECT doc_id, rule, CAST(hits AS INTEGER) AS hits FROM h WHERE hits > 0""")
 def rule_hits(spark, sf_dir):
     """Hits per document and rule."""
@@ -86,10 +87,11 @@ def rule_hits(spark, sf_dir):
 
 PROFILE = r"""
 WITH h AS (
-  SELECT d.doc_id, d.lang, d.source, r.rule, len(regexp_extract_all(d.text, r.pattern)) AS hits
-  FROM documents d, (VALUES
-    ('article', '(?:^|[^\p{L}\p{N}_])(the|la|der|el)[^\p{L}\p{N}_]'), ('marks', '\*\*\*'), ('bar', '\|'),
-    ('mail', '[A-Za-z0-9_.]+@[a-z]+\.[a-z]+'), ('hex', '[0-9a-f]{7,40}')) AS r(rule, pattern))
+SELECT doc_id, lang, source, 'article' AS rule, len(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(the|la|der|el)[^\p{L}\p{N}_]')) AS hits FROM documents
+  UNION ALL SELECT doc_id, lang, source, 'marks' AS rule, len(regexp_extract_all(text, '\*\*\*')) AS hits FROM documents
+  UNION ALL SELECT doc_id, lang, source, 'bar' AS rule, len(regexp_extract_all(text, '\|')) AS hits FROM documents
+  UNION ALL SELECT doc_id, lang, source, 'mail' AS rule, len(regexp_extract_all(text, '[A-Za-z0-9_.]+@[a-z]+\.[a-z]+')) AS hits FROM documents
+  UNION ALL SELECT doc_id, lang, source, 'hex' AS rule, len(regexp_extract_all(text, '[0-9a-f]{7,40}')) AS hits FROM documents)
 """
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
-from turnwise.functions.text import head, strip, tail
+from turnwise.functions.text import head, strip, tail, unroll
 
 RAW_SCHEMA = "value STRING"
 
@@ -110,11 +110,11 @@ def skip_headless(events_df: DataFrame, headless: str = lx.HEADLESS) -> DataFram
 
 def blocks_of(events_df: DataFrame) -> DataFrame:
     """One row per tool call or result with its place in the event."""
-    call = events_df.select("file", "seq", F.posexplode("calls").alias("pos", "b")).select(
+    call = unroll(events_df, ["file", "seq"], "calls", "b", "pos").select(
         "file", "seq", "pos", F.lit("call").alias("part"), "b.id", "b.name", "b.line", "b.skill", "b.input",
         F.lit(None).cast("string").alias("text"))
     none = F.lit(None).cast("string")
-    result = events_df.select("file", "seq", F.posexplode("results").alias("pos", "b")).select(
+    result = unroll(events_df, ["file", "seq"], "results", "b", "pos").select(
         "file", "seq", "pos", F.lit("result").alias("part"), "b.id", none.alias("name"), none.alias("line"),
         none.alias("skill"), none.alias("input"), F.col("b.text").alias("text"))
     return call.unionByName(result)
