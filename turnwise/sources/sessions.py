@@ -31,10 +31,15 @@ def read_sessions(spark: SparkSession, root: str, project: str = "", since: str
         raw = raw.where(F.col("file_modification_time") >= F.lit(since).cast("timestamp"))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ordered = raw.select("value", "file_path", (F.col("file_block_start") + place).alias("seq"))
-    parsed = ordered.withColumn("v", F.try_parse_json("value"))
+    return _parsed(ordered)
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    parsed = rows.withColumn("v", F.try_parse_json("value"))
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     return parsed.select(
         *[c.alias(n) for n, c in session_columns(F.col("file_path")).items()], "seq", "value", "v",
-        (F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))).alias("bad"))
+        (F.col("v").isNull() | ~is_object).alias("bad"))
 
 
 def get(v: Column | str, path: str, kind: str = "string") -> Column:
@@ -121,14 +126,14 @@ def blocks_of(events_df: DataFrame) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Rolled log files as a stream of raw lines with the same columns as ``read_sessions``."""
-    raw = spark.readStream.schema(RAW_SCHEMA).option("recursiveFileLookup", "true") \
-        .option("pathGlobFilter", "*.jsonl").format("text").load(root)
-    raw = raw.select("value", "_metadata.file_path", "_metadata.file_block_start")
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = raw.select("value", "file_path", (F.col("file_block_start") + place).alias("seq"))
-    parsed = ordered.withColumn("v", F.try_parse_json("value"))
-    return parsed.select(
-        *[c.alias(n) for n, c in session_columns(F.col("file_path")).items()], "seq", "value", "v",
-        (F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))).alias("bad"))
+    """Rolled log files as a stream, with the columns of ``read_sessions``.
 
+    A roll ``<session>.<n>.jsonl`` is closed before it is read and is as large as the writer lets
+    it grow; it is one row until its lines are numbered. ``seq`` is the roll, then the line.
+    """
+    raw = spark.readStream.schema(RAW_SCHEMA).option("wholetext", True).option("recursiveFileLookup", True) \
+        .option("pathGlobFilter", "*.jsonl").format("text").load(root).select("value", F.col("_metadata.file_path").alias("file_path"))
+    text = F.regexp_replace("value", r"\r?\n\z", "")
+    rows = unroll(raw, ["file_path"], F.split(text, r"\r\n|\n|\r"), "value")
+    roll = F.coalesce(F.regexp_extract("file_path", r"\.(\d+)\.jsonl$", 1).try_cast("bigint"), F.lit(0))
+    return _parsed(rows.withColumn("seq", F.shiftleft(roll, 32) + F.col("_pos")))
