@@ -49,16 +49,24 @@ def strip_imports(path: Column | str, text: Column | str) -> Column:
     return F.when(path.rlike(lx.SCRIPT_FILE), script).when(path.rlike(lx.PYTHON_FILE), python).otherwise(text)
 
 
-def code_blocks(path: Column | str, text: Column | str) -> Column:
-    """Top-level blocks: a line at column 0, the lines under it, and the comments or decorators before it."""
-    path = col(path)
-    kept = F.regexp_replace(strip_imports(path, text), r"(?m)[ \t\x0B\f]+$", "")
-    kept = F.regexp_replace(F.regexp_replace(kept, r"\n{2,}", "\n"), r"\A\n+|\n+\z", "")
-    cut = lambda pattern: F.transform(
-        F.regexp_extract_all(kept, F.lit(pattern), 0), lambda b: F.regexp_replace(b, r"\n+\z", ""))
+def tidy_lines(code: Column | str) -> Column:
+    """Lines without white space at their end, and no blank lines; most texts pass the tests untouched."""
+    c = col(code)
+    loose = F.lit(False)
+    for space in " \t\x0b\f":
+        loose = loose | c.contains(space + "\n")
+    c = F.rtrim(F.when(loose, F.regexp_replace(c, r"[ \t\x0B\f]+\n", "\n")).otherwise(c), F.lit(" \t\x0b\f\n"))
+    c = F.ltrim(c, F.lit("\n"))
+    return F.when(c.contains("\n\n"), F.regexp_replace(c, r"\n{2,}", "\n")).otherwise(c)
+
+
+def cut_blocks(path: Column | str, tidy: Column | str) -> Column:
+    """Top-level blocks of a tidy text: a line at column 0, the lines under it, and the comments or decorators before it."""
+    path, tidy = col(path), col(tidy)
+    cut = lambda pattern: F.regexp_extract_all(tidy, F.lit(pattern), 0)
     blocks = F.when(path.rlike(lx.SCRIPT_FILE), cut(SCRIPT_BLOCK)).when(path.rlike(lx.PYTHON_FILE), cut(PYTHON_BLOCK)).otherwise(
         cut(PLAIN_BLOCK))
-    return F.filter(blocks, lambda b: b != "")
+    return F.filter(F.transform(blocks, lambda b: F.rtrim(b, F.lit("\n"))), lambda b: b != "")
 
 
 def first_lost_line(head: Column, new: Column) -> Column:

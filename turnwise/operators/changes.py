@@ -5,9 +5,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
-from turnwise.functions.code import code_blocks, first_lost_line
+from turnwise.functions.code import cut_blocks, first_lost_line, strip_imports, tidy_lines
 from turnwise.functions.rules import any_match, matching
 from turnwise.functions.text import unroll
+from turnwise.operators.ordered import lookup
 
 OLD, NEW = "old", "new"
 
@@ -18,7 +19,8 @@ def blocks(files: DataFrame) -> DataFrame:
     ``block_id`` is a digest of the block; the block's text stays out of every later shuffle but
     for its first line.
     """
-    cut = unroll(files, ["rev", "path"], code_blocks("path", "text"), "block", "pos")
+    code = files.withColumn("_code", strip_imports("path", "text")).withColumn("_code", tidy_lines("_code"))
+    cut = unroll(code, ["rev", "path"], cut_blocks("path", "_code"), "block", "pos")
     return cut.select(
         "rev", "path", "pos", F.sha2("block", 256).alias("block_id"),
         F.trim(F.substring_index("block", "\n", 1)).alias("first_line"),
@@ -129,6 +131,6 @@ def latest_patch(pushes: DataFrame, verdicts: DataFrame) -> DataFrame:
     ``pushes``: pr, seq, patch. ``verdicts``: pr, seq, patch, verdict.
     """
     last = pushes.groupBy("pr").agg(F.max_by(F.struct("seq", "patch"), "seq").alias("last"))
-    rows = verdicts.join(last, "pr", "left")
+    rows = lookup(verdicts, last, ["pr"], ["seq"])
     later = F.coalesce((F.col("last.seq") > F.col("seq")) & (F.col("last.patch") != F.col("patch")), F.lit(False))
     return rows.select("pr", "seq", "patch", "verdict", later.alias("void"))

@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
-from turnwise.operators.ordered import carry, range_segments
+from turnwise.operators.ordered import carry, lookup, range_segments
 
 
 def proof_rank(level: Column) -> Column:
@@ -94,7 +94,7 @@ def shard_plan(files: DataFrame, n: int = 3, round_no: int = 0) -> DataFrame:
     middle = F.col("upto") - F.col("lines") / 2
     shard = F.least(F.floor(middle * n / whole), F.lit(n - 1))
     placed = run.select("area", F.pmod(shard + round_no, F.lit(n)).cast("int").alias("shard"))
-    return files.join(placed, "area").select("path", "area", "lines", "shard")
+    return lookup(files, placed, ["area"], ["path"], "inner").select("path", "area", "lines", "shard")
 
 
 def coverage_percent(scope: DataFrame, read: DataFrame) -> DataFrame:

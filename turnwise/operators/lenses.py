@@ -78,14 +78,15 @@ def missed_trigger(requests: DataFrame, triggers: DataFrame, loads: DataFrame, m
     A query with k words that needs m of them shares one of its k-m+1 rarest words with every
     match, so only those are joined on. The filter loses no match; common words never meet.
     """
-    asked = requests.select("request", words("text", min_chars).alias("_words"))
-    texts = asked.groupBy("_words").agg(F.count("*").alias("_n")).withColumn("_text", F.xxhash64("_words")).drop("_n")
+    said = requests.select("request", F.array_sort(words("text", min_chars)).alias("_words")).withColumn(
+        "_text", F.sha2(F.array_join("_words", " "), 256))
+    asked = said.select("request", "_text")
+    texts = said.groupBy("_text").agg(F.any_value("_words").alias("_words"))  # copies are compared once
     tokens = unroll(texts, ["_text"], "_words", "word").drop("_pos")
     wanted = triggers.select("trigger", "skill", words("query", min_chars).alias("_query")).where(F.size("_query") > 0)
 
     query_words = wanted.select("trigger", F.explode("_query").alias("word"))
-    known = query_words.select("word").distinct()
-    often = tokens.join(known, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    often = tokens.groupBy("word").agg(F.count("*").alias("df"))
     weighed = query_words.join(often, "word", "left").groupBy("trigger").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("by_rarity"))
     need = F.ceil(F.size("by_rarity") * F.lit(min_share))
@@ -93,15 +94,12 @@ def missed_trigger(requests: DataFrame, triggers: DataFrame, loads: DataFrame, m
         F.slice("by_rarity", F.lit(1), (F.size("by_rarity") - need + 1).cast("int"))).alias("w")).select(
         "trigger", F.col("w.word").alias("word"))
 
-    salts = 16
-    left = tokens.withColumn("_salt", F.pmod("_text", F.lit(salts)).cast("int"))
-    right = prefix.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    near = left.join(right, ["word", "_salt"]).select("_text", "trigger").distinct()
-    scored = near.join(wanted, "trigger").join(texts, "_text").select(
-        "_words", "trigger", "skill", F.size(F.array_intersect("_query", "_words")).alias("shared"), F.size("_query").alias("of"))
-    hits = scored.where(F.col("shared") >= F.ceil(F.col("of") * F.lit(min_share))).groupBy("_words", "skill").agg(
+    near = lookup(tokens, prefix, ["word"], ["_text"], "inner").select("_text", "trigger").distinct()
+    scored = lookup(near, wanted, ["trigger"], ["_text"], "inner").join(texts, "_text").select(
+        "_text", "trigger", "skill", F.size(F.array_intersect("_query", "_words")).alias("shared"), F.size("_query").alias("of"))
+    hits = scored.where(F.col("shared") >= F.ceil(F.col("of") * F.lit(min_share))).groupBy("_text", "skill").agg(
         F.max(F.struct((F.col("shared") / F.col("of")).alias("score"), -F.col("trigger"))).alias("best"))
-    per_skill = asked.join(hits, "_words").select(
+    per_skill = lookup(asked, hits, ["_text"], ["request"], "inner").select(
         "request", "skill", F.col("best.score").alias("score"), (-F.col("best.col2")).alias("trigger"))
     return per_skill.join(loads.select("request", "skill"), ["request", "skill"], "left_anti")
 

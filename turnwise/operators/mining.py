@@ -13,6 +13,8 @@ from turnwise.functions.text import first_group, head, present, shipped_name, sk
 from turnwise.operators.ordered import carry, int_segment
 
 PAGE_BITS = 27
+# seq counts bytes of the log, so a segment is at most 64 MB of one file.
+LOG_BITS = 26
 
 
 # --- per-event columns --------------------------------------------------------------------------
@@ -72,7 +74,7 @@ def with_state(events: DataFrame, *, shipped: Mapping[str, str] | None = None, p
     staged = events.withColumns({"is_command": command, "kept": kept, "_marker": marker, "_skill": skill_started(shipped)})
     # Assistant text is only needed as the marker, so it does not travel through the shuffle.
     staged = staged.withColumn("said", F.when(is_user, F.col("said")))
-    out = carry(staged.drop("calls"), ["file"], ["seq"], int_segment("seq"),
+    out = carry(staged.drop("calls"), ["file"], ["seq"], int_segment("seq", LOG_BITS),
                 last={"active_skill": F.col("_skill")}, prior={"before": F.col("_marker")})
     return out.withColumns({
         "active_skill": F.nullif(F.col("active_skill"), F.lit("")),
@@ -82,7 +84,7 @@ def with_state(events: DataFrame, *, shipped: Mapping[str, str] | None = None, p
 
 def active_skill(events: DataFrame, shipped: Mapping[str, str] | None = None) -> DataFrame:
     """Events with the latest skill started at or before them."""
-    out = carry(events.withColumn("_skill", skill_started(shipped)), ["file"], ["seq"], int_segment("seq"),
+    out = carry(events.withColumn("_skill", skill_started(shipped)), ["file"], ["seq"], int_segment("seq", LOG_BITS),
                 last={"active_skill": F.col("_skill")})
     return out.withColumn("active_skill", F.nullif(F.col("active_skill"), F.lit(""))).drop("_skill")
 
@@ -98,7 +100,7 @@ def ask_answer(blocks: DataFrame) -> DataFrame:
     both = blocks.where((asked | (F.col("part") == "result")) & F.col("id").isNotNull()).select(
         "file", "id", "seq", "pos", "part", F.when(asked, head(F.coalesce("input", F.lit("{}")), lx.TURN_CHARS)).alias("_q"),
         "text")
-    out = carry(both, ["file", "id"], ["seq", "pos"], int_segment("seq"), prior={"question": F.col("_q")})
+    out = carry(both, ["file", "id"], ["seq", "pos"], int_segment("seq", LOG_BITS), prior={"question": F.col("_q")})
     return out.where((F.col("part") == "result") & F.col("question").isNotNull()).select(
         "file", "id", "seq", "pos", "question", F.col("text").alias("result"))
 
@@ -174,7 +176,7 @@ def turn_id(events: DataFrame, peer: str = lx.PEER, keep=()) -> DataFrame:
     """
     starts = (F.col("type") == "user") & present("said") & ~F.col("said").startswith(peer)
     staged = events.withColumn("starts", starts)
-    out = carry(staged, ["file"], ["seq"], int_segment("seq"), total={"turn_id": F.col("starts").cast("int")},
+    out = carry(staged, ["file"], ["seq"], int_segment("seq", LOG_BITS), total={"turn_id": F.col("starts").cast("int")},
                 last={"start_seq": F.when(F.col("starts"), F.col("seq"))})
     return out.where("turn_id > 0")
 
@@ -248,7 +250,7 @@ def corrections_by_skill(events: DataFrame, shipped: Mapping[str, str], correcti
     staged = events.select("file", "project", "session", "seq", skill_started(shipped).alias("_skill"),
                            F.when(is_user, refused + said_hit.cast("int")).otherwise(0).alias("hits"))
     staged = staged.where((F.col("hits") > 0) | F.col("_skill").isNotNull())
-    out = carry(staged, ["file"], ["seq"], int_segment("seq"), last={"skill": F.col("_skill")})
+    out = carry(staged, ["file"], ["seq"], int_segment("seq", LOG_BITS), last={"skill": F.col("_skill")})
     return out.where((F.col("hits") > 0) & (F.col("skill") != "")).groupBy("project", "session", "skill").agg(
         F.sum("hits").alias("n"))
 

@@ -83,7 +83,7 @@ def carry(
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str] = (), how: str = "left") -> DataFrame:
-    """Join to a table that is unique on ``on``; many rows of ``df`` may share one key.
+    """Join to a table of few rows per key; many rows of ``df`` may share one.
 
     Without ``spread`` the join is plain: adaptive skew handling splits a hot key of ``df`` at run
     time. For a ``dim`` of far fewer rows than ``df``, name in ``spread`` columns that differ between

@@ -8,7 +8,7 @@ from turnwise import lexicons as lx
 from turnwise.functions.calls import (gate_verdict, glob_pattern, mode_name, path_allowed, prefixes, required_mode,
                                       working_file_reason)
 from turnwise.functions.text import unroll
-from turnwise.operators.ordered import SALTS
+from turnwise.operators.ordered import SALTS, lookup
 
 
 def with_need(calls: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def mode_verdict(calls: DataFrame, bound: DataFrame, user_mode: str = "off") ->
     An agent without a row is bound by the user's mode alone.
     """
     user = lx.MODES.index(user_mode)
-    rows = with_need(calls).join(bound.withColumnRenamed("agent", "agent_id"), "agent_id", "left")
+    rows = lookup(with_need(calls), bound.withColumnRenamed("agent", "agent_id"), ["agent_id"], ["tool", "command", "path"])
     rank, source = F.coalesce("rank", F.lit(user)), F.coalesce("source", F.lit("user"))
     denied = F.col("need") > rank
     return rows.withColumns({

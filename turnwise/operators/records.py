@@ -24,7 +24,8 @@ def newest_triage_reply(items: DataFrame, labels: DataFrame, comments: DataFrame
     ``items``: item, reporter. ``comments``: item, ts, author, is_note.
     """
     waiting = items.join(labels.where("label = 'needs-info'").select("item").distinct(), "item", "left_semi")
-    rows = comments.join(waiting.select("item", "reporter"), "item")
+    folded = comments.groupBy("item", "author", "is_note").agg(F.max("ts").alias("ts"))
+    rows = folded.join(waiting.select("item", "reporter"), "item")
     last = rows.groupBy("item").agg(
         F.max(F.when(F.col("is_note"), F.col("ts"))).alias("note"),
         F.max(F.when(~F.col("is_note") & (F.col("author") == F.col("reporter")), F.col("ts"))).alias("reply"))

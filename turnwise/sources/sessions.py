@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
 from turnwise.functions.text import head, strip, tail, unroll
+from turnwise.operators.ordered import lookup
 
 RAW_SCHEMA = "value STRING"
 
@@ -110,7 +111,7 @@ def skip_headless(events_df: DataFrame, headless: str = lx.HEADLESS) -> DataFram
     """Without the sessions whose first event came from a headless run."""
     first = events_df.groupBy("file").agg(F.min_by(F.struct("entrypoint"), "seq").alias("first"))
     out = first.where(F.col("first.entrypoint") == headless).select("file")
-    return events_df.join(out, "file", "left_anti")
+    return lookup(events_df, out, ["file"], ["seq"], "left_anti")
 
 
 def blocks_of(events_df: DataFrame) -> DataFrame:
