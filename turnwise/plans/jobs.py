@@ -76,7 +76,7 @@ def lens_report(events: DataFrame, min_sessions: int = 2) -> DataFrame:
 
 def plan_audit(spark: SparkSession, path: str, launch: bool = False) -> tuple[DataFrame, DataFrame]:
     """Findings and one report row per tree of a folder of outlines."""
-    t = read_plans(spark, path)
+    t = read_plans(spark, path).stored()
     trees_df = t.products.select("tree").unionByName(t.projects.select("tree"))
     found = trees.plan_findings(t, launch)
     return found, trees.tree_report(trees_df, found)

@@ -154,7 +154,7 @@ SELECT p.tree, COUNT(*) FILTER (WHERE level = 'problem') AS problems, COUNT(*) F
        COUNT(*) FILTER (WHERE level = 'problem') = 0 AS ok FROM products p LEFT JOIN a USING (tree) GROUP BY 1""")
 def tree_report(spark, sf_dir):
     """Problems and notes per market segment."""
-    t = plan_tables(spark, sf_dir)
+    t = plan_tables(spark, sf_dir).stored()
     return trees.tree_report(t.products, trees.plan_findings(t))
 
 

@@ -1,9 +1,11 @@
 """Plan outlines: one JSON tree per file, flattened to tables."""
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise.lineage import durable
+
 SCHEMA = """
 product STRUCT<name: STRING, status: STRING, worth_it: STRING,
   features: ARRAY<STRUCT<id: STRING, title: STRING, project: STRING, deferred: BOOLEAN>>>,
@@ -30,6 +32,10 @@ class PlanTables:
     items: DataFrame
     citations: DataFrame
 
+    def stored(self) -> "PlanTables":
+        """The same tables, written once to the shared folder, for jobs that join them many times."""
+        return PlanTables(*[durable(getattr(self, f.name)) for f in fields(self)])
+
 
 def read_plans(spark: SparkSession, path: str) -> PlanTables:
     trees = spark.read.schema(SCHEMA).option("multiLine", True).json(path).select(
