@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
 from turnwise.functions.code import first_lost_line
-from turnwise.lineage import durable
+from turnwise.lineage import durable, stored
 from turnwise.operators import chains, changes, chunks, evals, findings, lenses, mining, motion, policy, prose, records, runlog, trees, usage
 from turnwise.operators.ordered import int_segment
 from turnwise.sources import sessions, sinks
@@ -22,7 +22,7 @@ def log_tables(spark: SparkSession, root: str, project: str = "", since: str | N
                headless: bool = True) -> tuple[DataFrame, DataFrame]:
     """Raw lines and the narrow event table of a log folder."""
     raw = sessions.read_sessions(spark, root, project, since)
-    events = durable(sessions.events(raw))
+    events = stored(sessions.events(raw))
     return raw, events if headless else sessions.skip_headless(events)
 
 

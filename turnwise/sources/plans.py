@@ -4,7 +4,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.lineage import durable
+from turnwise.lineage import stored
 
 SCHEMA = """
 product STRUCT<name: STRING, status: STRING, worth_it: STRING,
@@ -34,7 +34,7 @@ class PlanTables:
 
     def stored(self) -> "PlanTables":
         """The same tables, written once to the shared folder, for jobs that join them many times."""
-        return PlanTables(*[durable(getattr(self, f.name)) for f in fields(self)])
+        return PlanTables(*[stored(getattr(self, f.name)) for f in fields(self)])
 
 
 def read_plans(spark: SparkSession, path: str) -> PlanTables:
