@@ -340,3 +340,26 @@ def recall_brief(spark, sf_dir):
         "ts", F.when(F.col("event_type") == "purchase", "decision").otherwise(F.col("event_type")).alias("kind"),
         F.col("event_id").alias("ref"), F.concat("event_type", F.lit(" k"), F.col("k").cast("string")).alias("text"))
     return lenses.recall_brief(records, "k7", last.scalar()).select("kind", "ref", "text")
+
+
+@query("""
+SELECT COUNT(DISTINCT user_id) AS files, COUNT(*) FILTER (WHERE event_type = 'error') AS hits,
+  CAST(COUNT(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 = 0) AS BIGINT) AS bad_lines FROM events""")
+def mining_stats(spark, sf_dir):
+    """Users as files, errors as hits, every twentieth kind as an unreadable line."""
+    ev = kind_events(spark, sf_dir)
+    raw = ev.select(F.col("user_id").alias("file"), (F.col("k") % 20 == 0).alias("bad"))
+    return mining.mining_stats(raw, ev.where("event_type = 'error'"))
+
+
+@query(SPAN + """SELECT event_id AS seq, 'REPLY' AS kind, active FROM s WHERE event_type = 'error' AND active = 7
+UNION ALL SELECT event_id, 'REJECTED', active FROM s WHERE event_type = 'click' AND active = 7""")
+def skill_span_filter(spark, sf_dir):
+    """Errors and clicks of two kinds made while view 7 was open."""
+    rows = spans(spark, sf_dir).withColumn("active_skill", F.col("active").cast("string"))
+    none = F.lit(None).cast("string")
+    kind = lambda t, name, part: rows.where(F.col("event_type") == t).select(
+        F.col("user_id").alias("file"), none.alias("project"), none.alias("session"), F.col("event_id").alias("seq"), F.lit(part).alias("part"),
+        F.lit(0).alias("pos"), F.lit(name).alias("kind"), "active_skill", none.alias("before"), none.alias("user"))
+    both = mining.union_kinds(kind("click", "REJECTED", 0), kind("error", "REPLY", 1))
+    return mining.skill_span_filter(both, "/x:7").select("seq", "kind", F.col("active_skill").cast("int").alias("active"))

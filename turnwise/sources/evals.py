@@ -2,7 +2,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise import lexicons as lx
 from turnwise.functions.text import body, first_group, front_matter, header_map, strip
 
 RUN_LOG = "time STRING, hypothesis STRING, change STRING, before STRING, after STRING, result STRING, evidence STRING"
@@ -73,6 +72,3 @@ def read_motion(spark: SparkSession, glob: str) -> DataFrame:
     raw = spark.read.schema(MOTION).option("multiLine", True).json(glob)
     return raw.select(F.col("_metadata.file_path").alias("motion"), "duration", "easing", F.posexplode("samples").alias("pos", "s")).select(
         "motion", "duration", "easing", "pos", F.col("s.t").alias("t"), F.col("s.p").alias("p"))
-
-
-HEADINGS = {"skill": lx.SKILL_HEADINGS, "mod": lx.MOD_HEADINGS}
