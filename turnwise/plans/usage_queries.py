@@ -102,10 +102,11 @@ WITH r AS (SELECT CASE WHEN user_id % 40 = 0 THEN 'rare' ELSE event_type END AS
                   value + CASE WHEN event_id % 2 = 0 AND event_type = 'view' THEN 100000 ELSE 0 END AS value,
                   CASE WHEN user_id % 13 = 0 THEN 1 ELSE 0 END AS errors FROM events),
 s AS (SELECT bench, side, COUNT(*) AS n, median(value) AS med, MIN(value) AS lo, MAX(value) AS hi FROM r WHERE errors = 0 GROUP BY 1, 2),
-w AS (SELECT b.bench, b.n AS bn, a.n AS an, b.med AS bm, a.med AS am, greatest(b.hi - b.lo, a.hi - a.lo) AS spread FROM s b JOIN s a ON a.bench = b.bench
-      WHERE b.side = 'before' AND a.side = 'after')
-SELECT bench, bn AS before_n, an AS after_n, ROUND(bm, 6) AS before_median, ROUND(am, 6) AS after_median,
-       CASE WHEN abs(am - bm) <= spread THEN 'none' WHEN am < bm THEN 'faster' ELSE 'slower' END AS verdict FROM w""")
+w AS (SELECT bench, MAX(CASE WHEN side = 'before' THEN n END) AS bn, MAX(CASE WHEN side = 'after' THEN n END) AS an,
+             MAX(CASE WHEN side = 'before' THEN med END) AS bm, MAX(CASE WHEN side = 'after' THEN med END) AS am, MAX(hi - lo) AS spread FROM s GROUP BY 1)
+SELECT b.bench, bn AS before_n, an AS after_n, ROUND(bm, 6) AS before_median, ROUND(am, 6) AS after_median,
+       CASE WHEN COALESCE(bn, 0) < 5 OR COALESCE(an, 0) < 5 THEN 'inconclusive' WHEN abs(am - bm) <= spread THEN 'none' WHEN am < bm THEN 'faster' ELSE 'slower' END AS verdict
+FROM (SELECT DISTINCT bench FROM r) b LEFT JOIN w USING (bench)""")
 def ab_verdict(spark, sf_dir):
     """Even against odd events as two sides of a benchmark per type."""
     e = F.col("event_id") % 2 == 0
