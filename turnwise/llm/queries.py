@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import mixing, secret_scan, toxicity
+from turnwise.llm import jaccard_join, mixing, secret_scan, toxicity
 from turnwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,21 @@ def op9_secrets(spark, sf_dir):
 def op4_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+@query("""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM t),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+     l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+     e AS (SELECT x, y FROM l UNION SELECT y, x FROM l)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (
+  WITH RECURSIVE reach(doc_id, c) AS (SELECT x, x FROM e UNION SELECT e.y, reach.c FROM reach JOIN e ON e.x = reach.doc_id)
+  SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
+""")
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_alike(table(spark, sf_dir, "documents").select("doc_id", "text"))
