@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import jaccard_join, mixing, secret_scan, toxicity
+from turnwise.llm import jaccard_join, mixing, packing, secret_scan, toxicity
 from turnwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,9 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (
 """)
 def op3_jaccard_join(spark, sf_dir):
     return jaccard_join.join_alike(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op6_packing(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
