@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import jaccard_join, mixing, packing, secret_scan, toxicity
+from turnwise.llm import audio, jaccard_join, mixing, packing, pii, secret_scan, toxicity
 from turnwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,13 @@ def op3_jaccard_join(spark, sf_dir):
 def op6_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op2_pii(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op10_audio(spark, sf_dir):
+    return audio.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
