@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import audio, html_text, jaccard_join, mixing, packing, pii, secret_scan, toxicity
+from turnwise.llm import audio, fingerprints, html_text, jaccard_join, mixing, packing, pii, secret_scan, toxicity
 from turnwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op10_audio(spark, sf_dir):
 @query()
 def op7_html_text(spark, sf_dir):
     return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query()
+def op1_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
