@@ -121,3 +121,18 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         "doc_id", "key", "size", "source_size", "target", "rate",
         (F.col("_low") + (F.when(F.col("_part") >= 1, 1).otherwise(0) if partial else more)).cast("bigint").alias("copies"),
         (F.col("_low") * F.col("size") + words_of).cast("bigint").alias("taken"))
+
+
+def copies(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The rows of ``documents`` as often as the mix takes them, in whole copies; a row it does not take goes.
+
+    Copies are decided by doc_id, source and size, so rows that share these are taken alike. Rows without a word are kept once: they
+    weigh nothing.
+    """
+    taken = mix(documents, weights, share, most, partial=False).select("doc_id", "key", "size", "copies").distinct()
+    sized = documents.withColumns({"_key": key_of(), "_size": F.size(words(whole())).cast("bigint")})
+    on = taken["doc_id"].eqNullSafe(sized["doc_id"]) & (taken["key"] == sized["_key"]) & (taken["size"] == sized["_size"])
+    times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.coalesce("copies", F.lit(0))).cast("int")
+    chosen = sized.join(taken.select("doc_id", "key", "size", "copies"), on, "left").select(
+        *[sized[c] for c in documents.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("_copy"))
+    return chosen.select(*[F.col(f"`{c}`") for c in documents.columns])

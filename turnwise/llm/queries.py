@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import audio, fingerprints, html_text, jaccard_join, mixing, packing, pii, secret_scan, toxicity
+from turnwise.llm import audio, fingerprints, html_text, jaccard_join, licences, mixing, packing, pii, secret_scan, toxicity
 from turnwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op7_html_text(spark, sf_dir):
 @query()
 def op1_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(licences.licence_sql())
+def op5_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licences.known_digests(spark))
