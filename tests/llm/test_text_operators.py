@@ -1,0 +1,237 @@
+"""Operators that read one row at a time."""
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.compare import compare, connect
+from tests.llm.conftest import LONG, SF
+from turnwise.llm import ORACLES, QUERIES, audio, html_text, licences, pii, secret_scan, toxicity
+
+EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    status, _, _, note = compare(spark, connect(SF), name, QUERIES[name], ORACLES[name], SF)
+    assert status == "ok", note
+
+
+# personal data
+
+def plain_pii(text):
+    """The fixed patterns as they are worded, searched with no shortcut."""
+    def luhn(digits):
+        total = 0
+        for place, digit in enumerate(reversed(digits)):
+            value = int(digit) * (1 + place % 2)
+            total += value - 9 * (value > 9)
+        return total % 10 == 0
+
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m.group().split("."))) <= 255]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), 2, m.end(), "card"))
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return [(a, b, kind) for a, _, b, kind in sorted(out)]
+
+
+def test_pii_patterns_on_random_text():
+    rng = random.Random(7)
+    pieces = ["a@b.co", "@", ".", "1.2.3.4", "255.255.255.256", "4111111111111111", "4111 1111-1111 1111", "+1 (555) 010-9999", "+", "-", " ", "x_y%z",
+              "é", "7", "00", "@@a.b", "c.d@e.f_g@h.i", "(", ")", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        found = sorted(pii.base_spans(text), key=lambda s: (s[0], pii.RANK[s[2]]))
+        assert found == plain_pii(text), text
+
+
+def test_pii_validators_and_context():
+    iban = "Bank account DE89 3704 0044 0532 0130 00 please"
+    assert [(iban[a:b], k) for a, b, k in pii.added_spans(iban, [])] == [("DE89 3704 0044 0532 0130 00", "iban")]
+    assert pii.added_spans(iban.replace("89", "88"), []) == []
+    assert [k for *_, k in pii.added_spans("call 555-010-9999 today", [])] == ["loose_phone"]
+    assert pii.added_spans("order 555-010-9999 today", []) == []
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.base_spans("1" * 200_000 + "@" * 1000) == []
+
+
+def test_pii_rows(docs, nothing, run, plain):
+    rows = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    assert (rows[8]["n_email"], rows[8]["n_phone"], rows[8]["n_ip"], rows[8]["n_card"]) == (1, 1, 0, 0)
+    assert rows[2]["base_sha256"] == rows[3]["base_sha256"] == EMPTY_SHA and rows[2]["spans"] == ""
+    assert pii.find_pii(docs).count() == docs.count() and pii.find_pii(nothing).count() == 0
+    for r in run("op2_pii"):
+        want = ",".join(f"{k}:{a}:{b}" for a, b, k in plain_pii(plain[r["doc_id"]]["text"] or ""))
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+# secrets
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def plain_secrets(text):
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    words = spark.read.parquet(f"{SF}/documents.parquet")
+    return secret_scan.log_ratios(secret_scan.random_strings(spark), secret_scan.ordinary_strings(words))
+
+
+def test_secret_patterns_on_random_text(spark, model):
+    rng = random.Random(3)
+    pieces = ["password", "Token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "token=token : abcdefgh", "abc12", "0123456789abcdef01234567", "AKIA", "ABCDEFGH01234567",
+              "é", "-", "ſecret", "\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scan.scan(frame, model).collect()
+    for r in found:
+        fixed = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["_found"] if s["kind"] != "markov")
+        assert fixed == plain_secrets(r["text"]), r["text"]
+
+
+def test_markov_tells_random_from_words(spark, model):
+    texts = ["key Zx81kQ0vT7pLm3Rw9bYc2 end", "internationalization of acknowledgements2", "thenextwordisverylongindeed1 and so on", "4111111111111111"]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [[(s["kind"], s["start"], s["end"]) for s in r["_found"]] for r in rows] == [[("markov", 4, 25)], [], [], []]
+
+
+def test_secret_rows(docs, nothing, run, plain):
+    found = secret_scan.find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
+    rows = {r["doc_id"]: r for r in found}
+    assert len(found) == docs.count() and rows[8][1:4] == (1, 1, 0) and rows[2]["base_sha256"] == rows[3]["base_sha256"] == EMPTY_SHA
+    assert secret_scan.find_secrets(nothing).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert clean[8].startswith("[SECRET] and [SECRET], mail") and clean[2] is None and clean[4] == LONG
+    for r in run("op9_secrets"):
+        assert r["base_sha256"] == hashlib.sha256(plain_secrets(plain[r["doc_id"]]["text"] or "").encode()).hexdigest()
+
+
+# toxicity
+
+def test_toxicity_learns(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    text = lambda bad: " ".join(rng.choice(words) for _ in range(150)) + (" zorgel " + " ".join(rng.choice(words) for _ in range(80))) * bad
+    train = toxicity.train([text(1) for _ in range(120)], [text(0) for _ in range(400)], 0.2)
+    assert min(toxicity.score_text(text(1), train) for _ in range(40)) > max(toxicity.score_text(text(0), train) for _ in range(40))
+    assert toxicity.score_text(None, train) == toxicity.score_text("", train) < 0.7
+
+
+def test_toxicity_rows(spark, docs, nothing, run):
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0), (8, 1, 0), (9, 1, None), (None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = toxicity.toxicity_scores(docs, labels).select("doc_id", "score", "predicted").collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows) and {r["predicted"] for r in rows} <= {0, 1}
+    assert toxicity.toxicity_scores(nothing, labels).count() == 0
+    assert toxicity.toxicity_scores(docs, labels.limit(0)).count() == docs.count()
+    for r in run("op8_toxicity"):
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    big = "/root/testdata/sf0.01"
+    rows = QUERIES["op8_toxicity"](spark, big).where("held_out").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").collect()
+    bad, good = ([r["score"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    assert np.mean([(b > np.array(good)).mean() + (b == np.array(good)).mean() / 2 for b in bad]) > 0.8
+    assert sum(s >= 0.7 for s in good) <= 0.02 * len(good)
+
+
+# licences
+
+def test_licence_forms(spark, docs, nothing):
+    known = licences.known_digests(spark)
+    mit = next(t for n, t in licences.KNOWN if n == "MIT")
+    texts = ["Copyright (c) 2019-2021 Jane Doe\n\n" + mit.upper().replace(". ", ".\n\n"), mit.replace("sublicense", "sub-licence"), mit + " More.", "x\nReleased under the MIT licence\ny", None]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).orderBy("doc_id").collect()
+    assert [(r["licence"], r["n_notices"], r["notices"]) for r in rows] == [("MIT", 0, ""), ("MIT", 1, "MIT"), (None, 0, ""), (None, 1, "MIT"), (None, 0, "")]
+    found = licences.scan(docs, known).collect()
+    assert len(found) == docs.count() and {r["doc_id"]: r["licence"] for r in found}[9] == "MIT"
+    assert licences.scan(nothing, known).count() == 0
+
+
+# web pages
+
+PAGE = """<html><head><title>t</title></head><body class="has-sidebar"><header class=site>Name</header><nav><ul><li><a href=/>Home</a><li>Menu</ul></nav>
+<div class="cookie-notice">We use them</div><div class="{wrap}"><header><h1>A &amp; B</h1></header><p>First&nbsp;part, <b>bold
+text</b> of the piece, long enough to count as text of an article.<p>Short.</p><script>if (a < b) "</p>"</script><form><input>Mail</form>
+<p>Last &lt;part&gt; with more than a few words to it, so it counts as well.</div><div id="comments"><p>Great piece, I liked it and say so at some length here.</div>
+<aside>More</aside><footer>&copy; us</footer></body>"""
+WANT = "A & B\nFirst part, bold text of the piece, long enough to count as text of an article.\nShort.\nLast <part> with more than a few words to it, so it counts as well."
+
+
+def test_page_with_and_without_article_element():
+    assert html_text.main_text(PAGE.replace('<div class="{wrap}">', "<article>").replace("as well.</div>", "as well.</article>")) == WANT
+    assert html_text.main_text(PAGE.replace("{wrap}", "post").replace("<header><h1>A &amp; B</h1></header>", "<h1>A &amp; B</h1>")) == WANT
+
+
+def test_page_corners():
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == html_text.main_text("<!-- x") == ""
+    assert html_text.main_text("no markup") == "no markup"
+    assert html_text.main_text('<p a="unclosed>text <b>x</p>') == "text x"
+    long = "".join(f"<p>paragraph {i} with some words in it</p>" for i in range(20_000))
+    assert html_text.main_text(f"<article>{long}</article>").count("\n") == 19_999
+    assert html_text.main_text("<div>" * 3000 + "deep text " * 20) == ("deep text " * 20).strip()
+
+
+def test_pages_query(spark, run, nothing):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = run("op7_html_text")
+    assert len(rows) == len(pages)
+    for r in rows:
+        article = re.search("<article>(.*?)</article>", pages[r["page_id"]]["html"], re.S)[1]
+        import html
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", article)]
+        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+    odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>" + "a " * 50, "y"), (1, "u", "<p>" + "a " * 50, "y")], "page_id long, url string, html string, text string")
+    assert sorted(r["n_chars"] for r in html_text.extract_text(odd).collect()) == [0, 99, 99]
+    assert html_text.extract_text(odd.limit(0)).count() == 0
+
+
+# media
+
+def test_wave_round_trip_and_filter():
+    raw = bytes(range(256)) * 3 + b"x"
+    rate, samples = audio.from_wave(audio.to_wave(raw))
+    assert rate == audio.RATE and samples.tobytes() == raw
+    x = np.random.RandomState(0).randn(500)
+    for up, down in ((1, 2), (2, 3), (3, 2), (5, 4), (1, 1)):
+        taps = audio._phases(up, down).T.ravel()
+        spread = np.zeros(len(x) * up)
+        spread[::up] = x
+        whole = np.pad(np.convolve(spread, taps), (0, 4000))
+        shift = up * (audio._phases(up, down).shape[1] // 2)
+        got = audio.resample(x, up, down)
+        assert np.allclose(got[20:-20], whole[shift + np.arange(len(got)) * down][20:-20])
+
+
+def test_tone_is_one_segment_and_one_band():
+    t = np.arange(64_000) / audio.RATE
+    tone = np.where((t > 1) & (t < 2), np.sin(2 * np.pi * 1000 * t), 0) * 100 + 128
+    patches, spans = audio.features(audio.to_wave(tone.astype(np.uint8).tobytes()))
+    assert len(spans) == 1 and abs(spans[0][0] - 1) < 0.05 and abs(spans[0][1] - 2) < 0.05
+    batch = audio.patch_tensors(patches)
+    assert batch.schema.field("patch").type == audio.tensor_type() and batch.column(2).to_numpy_ndarray().shape[1:] == (audio.PATCH, audio.MELS)
+    assert audio.segments(np.zeros(10)) == []
+
+
+def test_media_rows(docs, nothing, run, plain):
+    rows = {r["doc_id"]: r for r in audio.media_digests(docs).collect()}
+    assert rows[2]["n_bytes"] == 0 and rows[2]["payload_bytes"] == 64 and rows[2][2:] == rows[3][2:] and rows[5][1:] == rows[6][1:]
+    assert audio.media_digests(docs).count() == docs.count() and audio.media_digests(nothing).count() == 0
+    assert audio.media_features(audio.with_media(docs)).where("size(patch) <> 64 * 16").count() == 0
+    for r in run("op10_audio"):
+        raw = (plain[r["doc_id"]]["text"] or "").encode()
+        padded = raw + bytes(-len(raw) % 64 or 64 * (not raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (
+            len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
