@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from turnwise import lexicons as lx
 from turnwise.functions import calls as c
 from turnwise.functions import text as tx
 from turnwise.operators import chains, policy, prose
@@ -52,21 +53,19 @@ def test_required_mode_of_other_tools(spark):
     assert [r.need for r in out] == [r.want for r in out]
 
 
-DENY = [
-    "docs/stories/A-13-check.md", "prototypes/m/index.html", "apps/market/prototypes/x/index.html", "qwen-cost-draft.md", "FINDINGS.md",
-    "validate.html", "packages/core/107-EVIDENCE.md", "packages/core/112-verification.json", ".scratch/a.md", "research_notes/a/b.md",
-    "reports/x.md", "spike-292/findings.md", "artifacts/probe/probe.spec.ts", ".e2e-evidence/a/qa/run.sh", "apps/web/e2e/zz-probe-load.spec.ts",
-    "e2e/tests/test_zz_scratch_a.py", "audit-issues.local/x.md",
-]
-PASS = [
-    "README.md", "CLAUDE.md", ".claude/work/a/plan.md", ".agents/skills/x/SKILL.md", ".github/workflows/ci.yml",
-    "apps/web/src/features/x.ts", "apps/web/src/features/evidence/panel.tsx", "packages/core/src/research.ts", "e2e/qa/a-200-x.md",
-]
+WORKING = {  # a path and the rule that catches it; each with one that just misses it
+    "site/prototypes/v2.html": 0, ".scratch/try.py": 0, "lib/spike-cache/go.mod": 0, "notes.local/today.md": 0, "site/prototype/v2.html": None, "lib/pike-cache/go.mod": None,
+    "reports/may.csv": 1, "docs/epics/login.md": 1, "docs/guide/login.md": None, "lib/reports/may.csv": None,
+    "ci/test-results/run.xml": 2, "ci/results/run.xml": None,
+    "ideas.txt": 3, "plan.html": 3, "Readme.md": None, "LICENSE.txt": None, "lib/ideas.txt": None,
+    "lib/31-OUTCOME.md": 4, "lib/summary.md": 4, "lib/31-outcome.md": None, "lib/summary.rst": None,
+    "tests/zz-probe-1.js": 5, "load_tmp.py": 5, "tests/probe-zz-1.js": None, ".github/reports/x.md": None,
+}
 
 
 def test_working_files(spark):
-    got = judge(spark, DENY + PASS, c.working_file_reason)
-    assert all(got[:len(DENY)]) and not any(got[len(DENY):])
+    got = judge(spark, list(WORKING), c.working_file_reason)
+    assert dict(zip(WORKING, got)) == {path: None if rule is None else lx.PATH_REASONS[rule] for path, rule in WORKING.items()}
 
 
 def test_allow_list(spark):

@@ -70,16 +70,12 @@ def cut_blocks(path: Column | str, tidy: Column | str) -> Column:
 
 
 def first_lost_line(head: Column, new: Column) -> Column:
-    """The first non-blank line of ``head`` that does not follow, in order, in ``new``; null if all do."""
-    kept = F.filter(F.split(head, r"\r?\n"), lambda s: strip(s) != "")
-    lines = F.split(new, r"\r?\n")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("string").alias("lost"))
-
-    def step(state, line):
-        rest = F.slice(lines, (state["at"] + 1).cast("int"), F.greatest((F.size(lines) - state["at"]).cast("int"), F.lit(0)))
-        place = F.array_position(rest, line)
-        return F.when(state["lost"].isNotNull(), state).when(
-            place > 0, F.struct((state["at"] + place).alias("at"), state["lost"].alias("lost"))).otherwise(
-            F.struct(state["at"].alias("at"), line.alias("lost")))
+    """The first non-blank line of ``head`` that does not follow, in order, in ``new``; null if all do.
 
-    return F.when(head == new, F.lit(None).cast("string")).otherwise(F.aggregate(kept, zero, step)["lost"])
+    One fold over the lines of ``new`` moves the place of the next line to find on at each match, so the
+    work grows with the longer of the texts.
+    """
+    kept = F.filter(F.split(head, r"\r?\n"), lambda s: strip(s) != "")
+    found = lambda k: F.get(F.transform(F.array(k), lambda lines: F.get(lines, F.aggregate(
+        F.split(new, r"\r?\n"), F.lit(0), lambda at, line: at + F.when(line == F.get(lines, at), 1).otherwise(0)))), 0)
+    return F.when(head == new, F.lit(None).cast("string")).otherwise(found(kept))
