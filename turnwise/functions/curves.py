@@ -31,16 +31,17 @@ def curve_value(points: Column, x: Column) -> Column:
         return 3 * a + s * (6 * b - 12 * a + 3 * s * (1 + 3 * a - 3 * b))
 
     def step(state: Column, _: Column) -> Column:
-        s = state["s"]
-        miss = bezier(points[0], points[2], s) - x
+        s, p, at = state["s"], state["p"], state["at"]
+        miss = bezier(p[0], p[2], s) - at
         low, high = F.when(miss < 0, s).otherwise(state["low"]), F.when(miss < 0, state["high"]).otherwise(s)
-        steep = slope(points[0], points[2], s)
+        steep = slope(p[0], p[2], s)
         newton = s - F.when(F.abs(steep) > 1e-12, miss / steep)
         ahead = F.when(F.abs(miss) < 1e-15, s).when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        return F.struct(ahead.alias("s"), low.alias("low"), high.alias("high"))
+        return F.struct(ahead.alias("s"), low.alias("low"), high.alias("high"), p.alias("p"), at.alias("at"))
 
-    start = F.struct(x.cast("double").alias("s"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda end: bezier(points[1], points[3], end["s"]))
+    at = x.cast("double")
+    start = F.struct(at.alias("s"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), points.alias("p"), at.alias("at"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda end: bezier(end["p"][1], end["p"][3], end["s"]))
 
 
 def easing_family(easing: Column) -> Column:

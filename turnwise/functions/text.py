@@ -4,7 +4,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = " \t\n\r\f\x0b"
+#: White space, the Unicode kinds included.
+SPACE = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 RARE_BREAKS = "\r\f\x0b\x1c\x1d\x1e\x85\u2028\u2029"
 SENTENCE_MARK = "\u001f"
 
@@ -86,7 +87,7 @@ def lines(c: Column | str, every_break: bool = True) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Cut after ``.``, ``!`` or ``?`` and white space."""
-    marked = F.regexp_replace(strip(c), r"([.!?])\s+", f"$1{SENTENCE_MARK}")
+    marked = F.regexp_replace(strip(c), f"([.!?])[{SPACE}]+", f"$1{SENTENCE_MARK}")
     return F.filter(F.split(marked, SENTENCE_MARK), lambda s: s != "")
 
 
@@ -95,7 +96,7 @@ def word_count(c: Column | str) -> Column:
     c = col(c)
     text = F.when(c.contains("`"), F.regexp_replace(c, r"`[^`]*`", "CODE")).otherwise(c)
     text = F.when(text.contains("]("), F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")).otherwise(text)
-    return F.regexp_count(text, F.lit(r"\S+"))
+    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
 
 
 def words(c: Column | str, min_chars: int = 1) -> Column:

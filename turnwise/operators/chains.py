@@ -145,12 +145,15 @@ def stack_order(items: DataFrame, trunk: str = "main") -> DataFrame:
     """One bottom-to-top order per slice, every blocker below what it blocks.
 
     ``items``: slice, id, branch, blocked_by. ``base`` is the branch directly below, the trunk at
-    the bottom.
+    the bottom. Items in or above a cycle have no place: their pos, level and base are null.
     """
-    levels = blocker_levels(items).where("level is not null").select("slice", "level", "id", "branch")
+    placed = durable(blocker_levels(items).select("slice", "level", "id", "branch"))
+    levels = placed.where("level is not null")
     cut = range_segments(levels, ["slice", "level", "id"])
     out = carry(cut, ["slice"], ["level", "id"], F.col("_seg"), total={"pos": F.lit(1)}, prior={"base": F.col("branch")})
-    return out.select("slice", "id", "pos", "level", "branch", F.coalesce("base", F.lit(trunk)).alias("base"))
+    stacked = out.select("slice", "id", "pos", "level", "branch", F.coalesce("base", F.lit(trunk)).alias("base"))
+    none = lambda name: F.lit(None).cast(stacked.schema[name].dataType).alias(name)
+    return stacked.unionByName(placed.where("level is null").select("slice", "id", none("pos"), "level", "branch", none("base")))
 
 
 def riskiest_first(items: DataFrame, risk: Column) -> DataFrame:

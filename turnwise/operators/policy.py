@@ -55,8 +55,8 @@ def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def allow_list_join(paths: DataFrame, allow: DataFrame) -> DataFrame:
-    """Paths (root, rel) that the list of their root does not cover. ``allow``: root, allow (prefixes and globs)."""
-    lists = allow.groupBy("root").agg(F.first("allow").alias("allow"))
+    """Paths (root, rel) that no list of their root covers. ``allow``: root, allow (prefixes and globs)."""
+    lists = allow.groupBy("root").agg(F.array_distinct(F.flatten(F.collect_list("allow"))).alias("allow"))
     salted = paths.withColumn("_salt", F.pmod(F.xxhash64("rel"), F.lit(SALTS)).cast("int"))
     lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = salted.join(lists, ["root", "_salt"], "left").drop("_salt")

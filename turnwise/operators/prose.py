@@ -104,7 +104,7 @@ def doc_limits(docs: DataFrame, imperative: str, max_words: int = lx.MAX_WORDS,
 
 
 def lexical_stats(docs: DataFrame, group: Sequence[str] = ("lang", "source"), rules: Mapping[object, str] | None = None) -> DataFrame:
-    """Hits per 1,000 words by rule, with a cube over the groups.
+    """Hits per 1,000 words by rule, with a cube over the groups; ``level`` has a bit for each group summed over, so a null group is no total.
 
     Hits and words fold to one row per group and rule before the cube spreads them.
     """
@@ -112,16 +112,16 @@ def lexical_stats(docs: DataFrame, group: Sequence[str] = ("lang", "source"), ru
     counted = docs.select(*group, word_count("text").cast("bigint").alias("n"),
                           *[F.regexp_count("text", F.lit(p)).cast("bigint").alias(f"r{i}") for i, p in enumerate(rules.values())])
     base = counted.groupBy(*group).agg(F.sum("n").alias("n"), *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))])
-    cube = base.cube(*group).agg(F.sum("n").alias("words"), *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))])
+    cube = base.cube(*group).agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("words"), *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))])
     pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r{i}").alias("hits")) for i, r in enumerate(rules)])
-    out = cube.select(*group, "words", F.explode(pairs).alias("h")).select(*group, "h.rule", "h.hits", "words")
+    out = cube.select(*group, "level", "words", F.explode(pairs).alias("h")).select(*group, "level", "h.rule", "h.hits", "words")
     return out.withColumn("per_1000", F.when(F.col("words") > 0, F.col("hits") * 1000 / F.col("words")))
 
 
 def rule_hit_profile(hits: DataFrame, by: Sequence[str] = ("source", "rule")) -> DataFrame:
-    """Hits per group with subtotals and a grand total."""
+    """Hits per group with subtotals and a grand total; ``level`` has a bit for each column summed over, so a null group is no total."""
     base = hits.groupBy(*by).agg(F.sum("hits").alias("hits"), F.count("*").alias("docs"))
-    return base.rollup(*by).agg(F.sum("hits").alias("hits"), F.sum("docs").alias("docs"))
+    return base.rollup(*by).agg(F.grouping_id().cast("int").alias("level"), F.sum("hits").alias("hits"), F.sum("docs").alias("docs"))
 
 
 # --- notes --------------------------------------------------------------------------------------

@@ -120,14 +120,15 @@ def tree_report(trees: DataFrame, findings: DataFrame) -> DataFrame:
 def rollup_status(items: DataFrame) -> DataFrame:
     """Done share per milestone, project and product from the items' own state.
 
-    ``items``: product, project, milestone, done. A level is closed when all below it is.
+    ``items``: product, project, milestone, done. A level is closed when all below it is. Items without a
+    milestone are a milestone row of their own, with a null.
     """
     base = items.groupBy("product", "project", "milestone").agg(
         F.count("*").alias("items"), F.count_if("done").alias("done"))
-    up = base.rollup("product", "project", "milestone").agg(F.sum("items").alias("items"), F.sum("done").alias("done"))
-    level = F.when(F.col("milestone").isNotNull(), "milestone").when(F.col("project").isNotNull(), "project").when(
-        F.col("product").isNotNull(), "product")
-    return up.withColumn("level", level).where("level is not null").withColumn("closed", F.col("items") == F.col("done"))
+    up = base.rollup("product", "project", "milestone").agg(
+        F.grouping_id().alias("_left_out"), F.sum("items").alias("items"), F.sum("done").alias("done"))
+    level = F.element_at(F.create_map(F.lit(0), F.lit("milestone"), F.lit(1), F.lit("project"), F.lit(3), F.lit("product")), F.col("_left_out").cast("int"))
+    return up.withColumn("level", level).where("level is not null").withColumn("closed", F.col("items") == F.col("done")).drop("_left_out")
 
 
 def flag_downstream(t: PlanTables, changed_requirements: DataFrame, changed_features: DataFrame) -> DataFrame:

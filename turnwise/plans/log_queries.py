@@ -48,8 +48,10 @@ FROM t GROUP BY 1, 2)
 @query(TURNS + """SELECT session, turn_id, left(user_text, 1200) AS user, right(claude_text, 600) AS claude FROM r""")
 def turn_rollup(spark, sf_dir):
     """Every prompt with the last answer text."""
-    return mining.turn_rollup(session_events(spark, sf_dir)).where("page = 0").select(
-        "session", "turn_id", "user", F.coalesce("claude", F.lit("")).alias("claude"))
+    pages = mining.turn_rollup(session_events(spark, sf_dir))
+    return pages.groupBy("session", "turn_id").agg(
+        F.min_by("user", F.when(F.col("user").isNotNull(), F.col("page"))).alias("user"),
+        F.coalesce(F.max_by("claude", F.when(F.col("claude").isNotNull(), F.col("page"))), F.lit("")).alias("claude"))
 
 
 @query("""
@@ -277,11 +279,10 @@ def wasted_calls(spark, sf_dir):
 
 
 @query("""
-SELECT event_type AS theme, COUNT(*) AS n, COUNT(DISTINCT user_id) AS sources FROM events
-WHERE json_extract_string(props, '$.k') = '7' GROUP BY 1 HAVING COUNT(DISTINCT user_id) >= 2""")
+SELECT event_type || '-' || json_extract_string(props, '$.k') AS theme, COUNT(*) AS n, COUNT(DISTINCT user_id) AS sources FROM events GROUP BY 1 HAVING COUNT(DISTINCT user_id) >= 2""")
 def theme_repeat(spark, sf_dir):
-    """Event types tagged 7 across two or more users."""
-    tagged = kind_events(spark, sf_dir).where("k = 7").select(F.col("event_type").alias("theme"), F.col("user_id").alias("source"))
+    """Event types with their tag across two or more users."""
+    tagged = kind_events(spark, sf_dir).select(F.concat_ws("-", "event_type", F.col("k").cast("string")).alias("theme"), F.col("user_id").alias("source"))
     return lenses.theme_repeat(tagged)
 
 
@@ -290,8 +291,8 @@ WORDS = r"list_distinct(list_filter(regexp_extract_all(lower(text), '([\p{L}\p{N
 
 @query(f"""
 WITH a AS (SELECT conv_id * 100 + turn AS request, {WORDS} AS w FROM conversations WHERE role = 'user'),
-q AS (SELECT item_id AS trigger, item_id % 24 AS skill, {WORDS} AS k
-      FROM (SELECT item_id, string_split(text, '.')[1] AS text FROM benchmark)),
+q AS (SELECT item_id * 1000 + pos AS trigger, item_id % 24 AS skill, {WORDS} AS k
+      FROM (SELECT item_id, UNNEST(string_split(text, '.')) AS text, generate_subscripts(string_split(text, '.'), 1) - 1 AS pos FROM benchmark)),
 p AS (SELECT request, skill, trigger, len(list_intersect(w, k)) AS shared, len(k) AS of FROM a, q WHERE len(k) > 0),
 h AS (SELECT request, skill, MAX(shared / of) AS score FROM p WHERE shared >= ceil(of * 0.5) GROUP BY 1, 2),
 b AS (SELECT h.request, h.skill, MIN(trigger) AS trigger, ANY_VALUE(h.score) AS score FROM h JOIN p
@@ -302,8 +303,8 @@ def missed_trigger(spark, sf_dir):
     """Prompts that hold half the words of a benchmark sentence whose skill did not load."""
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("request"), "text")
-    triggers = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("trigger"), (F.col("item_id") % 24).alias("skill"), F.split("text", r"\.")[0].alias("query"))
+    triggers = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("pos", "query")).select(
+        (F.col("item_id") * 1000 + F.col("pos")).alias("trigger"), (F.col("item_id") % 24).alias("skill"), "query")
     loads = asked.where("request % 3 = 0").select("request", F.lit(0).cast("bigint").alias("skill"))
     return lenses.missed_trigger(asked, triggers, loads, 0.5, 2).select(
         "request", "skill", "trigger", F.round("score", 6).alias("score"))
@@ -312,7 +313,7 @@ def missed_trigger(spark, sf_dir):
 @query("""
 SELECT CAST(conv_id % 10 AS VARCHAR) AS project, 'revert' AS kind, 'd' || (conv_id * 100 + turn) AS ref, 'Revert ' || text AS text
 FROM conversations WHERE role = 'system'
-UNION ALL SELECT CAST(doc_id % 10 AS VARCHAR), 'review', CAST(doc_id AS VARCHAR), left(text, 80) FROM documents
+UNION ALL SELECT CAST(doc_id % 10 AS VARCHAR), 'review', CAST(doc_id AS VARCHAR), text FROM documents
 UNION ALL SELECT CAST(conv_id % 10 AS VARCHAR), 'correction', CAST(conv_id AS VARCHAR), text FROM conversations WHERE role = 'user'""")
 def review_lessons(spark, sf_dir):
     """Reverts, review notes and corrections of a project in one table."""
@@ -321,7 +322,7 @@ def review_lessons(spark, sf_dir):
         "project", F.concat(F.lit("d"), (F.col("conv_id") * 100 + F.col("turn")).cast("string")).alias("sha"),
         F.concat(F.when(F.col("role") == "system", "Revert ").otherwise("Add "), "text").alias("message"))
     comments = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % 10).cast("string").alias("project"), F.col("doc_id").alias("ref"), F.left("text", F.lit(80)).alias("text"))
+        (F.col("doc_id") % 10).cast("string").alias("project"), F.col("doc_id").alias("ref"), "text")
     fixes = talk.where("role = 'user'").select("project", F.col("conv_id").alias("session"), F.col("text").alias("user"))
     return lenses.review_lessons(commits, comments, fixes)
 

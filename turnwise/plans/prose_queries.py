@@ -95,7 +95,7 @@ SELECT doc_id, lang, source, 'article' AS rule, len(regexp_extract_all(text, '(?
 """
 
 
-@query(PROFILE + """SELECT lang, source, rule, CAST(SUM(hits) AS BIGINT) AS hits, COUNT(*) AS docs FROM h WHERE hits > 0
+@query(PROFILE + """SELECT lang, source, rule, CAST(GROUPING(lang, source, rule) AS INTEGER) AS level, CAST(SUM(hits) AS BIGINT) AS hits, COUNT(*) AS docs FROM h WHERE hits > 0
 GROUP BY ROLLUP (lang, source, rule)""")
 def rule_profile(spark, sf_dir):
     """Hits by language, source and rule with subtotals."""
@@ -106,7 +106,7 @@ def rule_profile(spark, sf_dir):
 @query(PROFILE + r""", w AS (
   SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE len(string_split_regex(trim(regexp_replace(regexp_replace(text,
     '`[^`]*`', 'CODE', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '\s+')) END AS n FROM documents)
-SELECT lang, source, rule, CAST(SUM(hits) AS BIGINT) AS hits, CAST(SUM(n) AS BIGINT) AS words,
+SELECT lang, source, CAST(GROUPING(lang, source) AS INTEGER) AS level, rule, CAST(SUM(hits) AS BIGINT) AS hits, CAST(SUM(n) AS BIGINT) AS words,
        ROUND(SUM(hits) * 1000 / SUM(n), 6) AS per_1000
 FROM h JOIN w USING (doc_id) GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (source, rule), (rule))""")
 def lexical_stats(spark, sf_dir):

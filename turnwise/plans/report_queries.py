@@ -22,8 +22,8 @@ def eval_tables(spark, sf_dir):
     trace = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 20).alias("case"), F.col("user_id").alias("run"), F.col("event_id").alias("seq"),
         F.col("event_type").alias("tool"), F.col("props").alias("input"))
-    texts = table(spark, sf_dir, "conversations").where("turn = 1").select(
-        (F.col("conv_id") % 20).alias("case"), F.col("conv_id").alias("run"), F.lit("trace").alias("target"), "text")
+    texts = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") % 20).alias("case"), (F.col("conv_id") * 100 + F.col("turn")).alias("run"), F.lit("trace").alias("target"), "text")
     return graders, trace, texts
 
 
@@ -35,8 +35,8 @@ runs AS (SELECT DISTINCT user_id % 20 AS "case", user_id AS run FROM events),
 n AS (SELECT r."case", r.run, g.grader, lo, hi, (SELECT COUNT(*) FROM events e WHERE e.user_id = r.run AND e.event_type = g.tool
         AND regexp_matches(e.props, g.m)) AS n FROM runs r JOIN g ON g."case" = r."case" AND is_tool),
 gt AS (SELECT "case", run, grader, n >= COALESCE(lo, CASE WHEN hi IS NULL THEN 1 ELSE 0 END) AND (hi IS NULL OR n <= hi) AS passed FROM n),
-gr AS (SELECT c.conv_id % 20 AS "case", c.conv_id AS run, grader, regexp_matches(text, pattern) <> neg AS passed
-       FROM conversations c JOIN g ON g."case" = c.conv_id % 20 AND NOT is_tool WHERE turn = 1)
+gr AS (SELECT c.conv_id % 20 AS "case", c.conv_id * 100 + c.turn AS run, grader, regexp_matches(text, pattern) <> neg AS passed
+       FROM conversations c JOIN g ON g."case" = c.conv_id % 20 AND NOT is_tool)
 """
 
 
@@ -49,7 +49,7 @@ def grade_tool_used(spark, sf_dir):
 
 @query(GRADERS + 'SELECT "case", run, grader, passed FROM gr')
 def grade_regex(spark, sf_dir):
-    """First answers graded by patterns."""
+    """Every turn graded by patterns."""
     graders, _, texts = eval_tables(spark, sf_dir)
     return evals.grade_regex(graders, texts)
 
@@ -134,12 +134,12 @@ def ranked_findings(spark, sf_dir):
 
 @query(f"""
 WITH c AS (SELECT user_id AS claim, COUNT(*) AS cites, bool_or(event_type = 'purchase' AND {K} % 20 = 0) AS direct,
-                  COUNT(DISTINCT CASE WHEN event_type = 'view' THEN {K} % 50 END) AS sources FROM events WHERE {K} < 12 GROUP BY 1)
+                  COUNT(DISTINCT CASE WHEN event_type = 'view' THEN {K} % 50 END) AS sources FROM events GROUP BY 1)
 SELECT c_custkey AS claim, c_custkey % 2 = 0 AS searched, CASE WHEN direct THEN 'Direct' WHEN sources >= 2 THEN 'Supported' WHEN cites > 0 THEN 'Inferred'
   WHEN c_custkey % 2 = 0 THEN 'Unknown' ELSE 'Speculative' END AS tier FROM customer LEFT JOIN c ON claim = c_custkey""")
 def evidence_tier(spark, sf_dir):
     """Customers as claims, events as citations."""
-    ev = kind_events(spark, sf_dir).where("k < 12")
+    ev = kind_events(spark, sf_dir)
     cites = ev.select(F.col("user_id").alias("claim"), (F.col("k") % 50).alias("source"),
                       ((F.col("event_type") == "purchase") & (F.col("k") % 20 == 0)).alias("direct"), (F.col("event_type") == "view").alias("agrees"))
     claims = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("claim"), (F.col("c_custkey") % 2 == 0).alias("searched"))
