@@ -1,5 +1,6 @@
 """Session logs: one file per case, one expectation per case."""
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,29 +193,34 @@ def test_stream_equals_batch(spark, log):
     _, events = jobs.log_tables(spark, root)
     batch = {(r.session, r.skill, r.n) for r in mining.corrections_by_skill(events, SHIPPED).collect()}
     marks = live.correction_marks(sessions.events(sessions.stream_sessions(spark, root)), SHIPPED)
-    out = live.drain(live.stream_corrections(marks), "t", idle_batches=False)
-    assert {(r.session, r.skill, r.n) for r in out.where("kind = 'nudge'").collect()} == batch
+    assert {(r.session, r.skill, r.n) for r in live.stream_corrections(marks).collect()} == batch
 
 
-def test_late_rows_are_counted(spark, tmp_path):
-    src = str(tmp_path / "src")
-    schema = "session string, seq long, skill string, hits long"
+MARKS = "session string, seq long, skill string, hits long"
+
+
+def test_corrections_do_not_depend_on_files(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(f"s{i % 4}", i, rng.choice([None, None, "a", "b", ""]), rng.randint(0, 2)) for i in range(60)]
+    want = {tuple(r) for r in live.corrections_so_far(spark.createDataFrame(rows, MARKS)).collect()}
+    for name, cuts in (("one", [rows]), ("many", [rows[i:i + 15] for i in range(0, 60, 15)]), ("shuffled", [rows[i::4] for i in (2, 0, 3, 1)])):
+        src = str(tmp_path / name)
+        for cut in cuts:  # written one after the other, so read in this order
+            spark.createDataFrame(cut, MARKS).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(MARKS).option("maxFilesPerTrigger", 1).parquet(src)
+        assert {tuple(r) for r in live.stream_corrections(stream).collect()} == want, name
+
+
+def test_late_rows_and_pauses(spark, tmp_path):
+    src, schema = str(tmp_path / "src"), MARKS
     spark.createDataFrame([("a", 5, "polish", 0), ("a", 6, None, 1)], schema).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    state = str(tmp_path / "state")
-    def go():
-        q = live.stream_corrections(stream).writeStream.format("parquet").option("checkpointLocation", state).option(
-            "path", str(tmp_path / "out")).trigger(availableNow=True)
-        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-        try:
-            q.start().awaitTermination()
-        finally:
-            spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
-    go()
-    spark.createDataFrame([("a", 2, None, 1), ("a", 7, None, 1)], schema).coalesce(1).write.mode("append").parquet(src)
-    go()
-    rows = sorted(tuple(r) for r in spark.read.schema("session string, kind string, skill string, n long").parquet(str(tmp_path / "out")).collect())
-    assert rows == [("a", "late", None, 1), ("a", "nudge", "polish", 1)]
+    stream = spark.readStream.schema(schema).parquet(src)
+    folders = str(tmp_path / "week"), str(tmp_path / "none")
+    assert [tuple(r) for r in live.stream_corrections(stream, folders[0]).collect()] == [("a", "polish", 1)]
+    live.stream_corrections(stream, folders[1])
+    spark.createDataFrame([("a", 2, "smash", 0), ("a", 3, None, 1), ("a", 7, None, 1)], schema).coalesce(1).write.mode("append").parquet(src)
+    assert {tuple(r) for r in live.stream_corrections(stream, folders[0]).collect()} == {("a", "smash", 1), ("a", "polish", 2)}
+    assert {tuple(r) for r in live.stream_corrections(stream, folders[1], ttl="0 seconds").collect()} == {("a", "smash", 2)}
 
 
 # --- lenses: each with a decoy that must stay out ------------------------------------------------

@@ -25,8 +25,7 @@ def stream_corrections(spark, sf_dir):
         F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"),
         F.when(is_view, (F.col("k") % 10).cast("string")).alias("skill"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).cast("bigint").alias("hits"))
-    out = live.drain(live.stream_corrections(marks), "corrections", idle_batches=False)
-    return out.where("kind = 'nudge'").select("session", "skill", "n")
+    return live.stream_corrections(marks).select("session", "skill", "n")
 
 
 @query("""

@@ -1,9 +1,9 @@
 """Streaming twins: corrections, mode verdicts, gate and usage as the events arrive."""
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
@@ -11,10 +11,12 @@ from turnwise import lexicons as lx
 from turnwise.functions.calls import OFF
 from turnwise.functions.text import present, utf16_length
 from turnwise.lineage import new_folder
+from turnwise.operators.ordered import carry, int_segment
 from turnwise.operators.mining import command_started, is_rejected, skill_started
 from turnwise.operators.policy import shift_verdict, with_need
 from turnwise.operators.usage import burn_rate
 
+WEEK = "7 days"
 WEEK_MS = 7 * 86_400_000
 
 
@@ -25,34 +27,6 @@ def _in_order(rows: Iterator[pd.DataFrame], after: int) -> tuple[pd.DataFrame, i
     return fresh, len(batch) - len(fresh)
 
 
-def count_corrections(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Corrections per skill of a session; every skill is announced once.
-
-    A file source gives no order inside a batch, so rows are put in order here. Rows behind what
-    an earlier batch has seen are dropped and counted under kind 'late'. The state holds one
-    number per skill, never the rows.
-    """
-    columns = ["session", "kind", "skill", "n"]
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([], columns=columns)
-        return
-    seen = json.loads(state.get[0]) if state.exists else {"skill": "", "seq": -1, "n": {}}
-    fresh, late = _in_order(rows, seen["seq"])
-    out = [(key[0], "late", None, late)] if late else []
-    if len(fresh):
-        active = fresh["skill"].ffill().fillna(seen["skill"])
-        hits = fresh["hits"].groupby(active).sum()
-        for name, n in hits[(hits > 0) & (hits.index != "")].items():
-            if name not in seen["n"]:
-                out.append((key[0], "nudge", name, int(n)))
-            seen["n"][name] = seen["n"].get(name, 0) + int(n)
-        seen["skill"], seen["seq"] = str(active.iloc[-1]), int(fresh["seq"].iloc[-1])
-    state.update((json.dumps(seen),))
-    state.setTimeoutDuration(WEEK_MS)
-    yield pd.DataFrame(out, columns=columns)
-
-
 def correction_marks(events: DataFrame, shipped: Mapping[str, str], correction: str = lx.CORRECTION) -> DataFrame:
     """session, seq, started skill ('' for an unknown one) and corrections per event, without state."""
     is_user = (F.col("type") == "user") & command_started().isNull()
@@ -63,13 +37,19 @@ def correction_marks(events: DataFrame, shipped: Mapping[str, str], correction:
                          F.when(is_user, refused + said.cast("int")).otherwise(0).cast("bigint").alias("hits"))
 
 
-def stream_corrections(marks: DataFrame) -> DataFrame:
-    """Each (session, skill) once, with its corrections so far. ``marks``: session, seq, skill, hits.
+def corrections_so_far(marks: DataFrame) -> DataFrame:
+    """(session, skill, n): corrections while a skill was the last one started. ``marks``: session, seq, skill, hits."""
+    rows = carry(marks, ["session"], ["seq"], int_segment("seq"), last={"active": F.col("skill")})
+    return rows.where("active <> '' and hits > 0").groupBy("session", F.col("active").alias("skill")).agg(F.sum("hits").alias("n"))
+
 
-    A session without events for a week loses its state.
+def stream_corrections(marks: DataFrame, folder: str | None = None, ttl: str = WEEK) -> DataFrame:
+    """Corrections of each (session, skill) after all marks that are there now.
+
+    The same for any cut of the marks into files and any order of these. A session without marks for a
+    week starts anew. ``folder`` keeps what was read between calls.
     """
-    return marks.groupBy("session").applyInPandasWithState(
-        count_corrections, "session string, kind string, skill string, n bigint", "seen string", "append", "ProcessingTimeTimeout")
+    return follow(marks, corrections_so_far, "session", "corrections", folder, ttl)
 
 
 def judge_actions(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -160,6 +140,34 @@ def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, gl
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob or path)
 
 
+def follow(stream: DataFrame, view: Callable[[DataFrame], DataFrame], key: str, name: str, folder: str | None = None, ttl: str = WEEK) -> DataFrame:
+    """``view`` of all rows of a growing table, worked out anew for the keys that a micro-batch touches.
+
+    Each micro-batch adds its rows to a table, then the view of its keys is computed from all of their rows, so
+    late rows and any cut into batches give what one batch would. Nothing is held in Python, and a batch that is
+    run again overwrites its own folders. Rows of a key from before a pause longer than ``ttl`` no longer count.
+    """
+    spark = stream.sparkSession
+    out = folder or new_folder(spark, name)
+    kept = f"{stream.schema.simpleString()[7:-1]},batch:bigint".replace(":", " ")
+
+    def step(batch: DataFrame, number: int) -> None:
+        part = f"batch={number}"
+        batch.write.mode("overwrite").parquet(f"{out}/rows/{part}")
+        touched = spark.read.schema(stream.schema).parquet(f"{out}/rows/{part}").select(key).distinct()
+        touched.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/keys/{part}")
+        seen = spark.read.parquet(f"{out}/keys").join(touched, key, "left_semi")
+        before = F.lag("at").over(Window.partitionBy(key).orderBy("batch"))
+        starts = seen.withColumn("_new", F.col("at") - before > F.expr(f"interval {ttl}")).groupBy(key).agg(
+            F.coalesce(F.max(F.when(F.col("_new"), F.col("batch"))), F.lit(0)).alias("_from"))
+        rows = spark.read.schema(kept).parquet(f"{out}/rows").where(F.col("batch") <= number).join(starts, key)
+        view(rows.where("batch >= _from").drop("batch", "_from")).write.mode("overwrite").parquet(f"{out}/view/{part}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{out}/keys").groupBy(key).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/view").join(last, [key, "batch"], "left_semi").drop("batch")
+
+
 def drain(stream: DataFrame, name: str, idle_batches: bool = True) -> DataFrame:
     """Run a stream over all that is there now into Parquet in the shared folder, and read it back.
 
