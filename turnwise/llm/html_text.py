@@ -8,6 +8,7 @@ paragraphs are not cut; where the core lies straight in the body, it is the stre
 """
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3  # lines of a window
 SURGE = 60  # characters without links that a window must reach
-HOLDS = 0.8  # share of the core that its container holds
+HOLDS = 0.8  # share of the largest article element that an inner one must hold to be taken instead
 
 # Element names by what they do to the text.
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed".split())
@@ -44,7 +45,7 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 class Line:
     text: str
     plain: int  # characters outside links
-    inside: tuple[int, ...]  # open containers, outermost first
+    inside: int  # the innermost open container, -1 for none
     heading: bool = False
 
 
@@ -54,12 +55,32 @@ class _Open:
     number: int
     dropped: bool
     main: bool
+    container: int  # the innermost block element, itself included
+    heading: bool
 
 
 @dataclass
 class _Page:
     lines: list[Line] = field(default_factory=list)
-    names: list[str] = field(default_factory=list)  # of containers by number
+    names: list[str] = field(default_factory=list)  # of elements by number
+    above: list[int] = field(default_factory=list)  # the container around each element, -1 for none; always a smaller number
+
+    def sizes(self, lines: list[Line]) -> list[int]:
+        """Characters outside links that each element holds."""
+        out = [0] * len(self.names)
+        for line in lines:
+            if line.inside >= 0:
+                out[line.inside] += line.plain
+        for n in range(len(out) - 1, -1, -1):
+            if self.above[n] >= 0:
+                out[self.above[n]] += out[n]
+        return out
+
+    def text_in(self, chosen: int) -> str:
+        within = [False] * len(self.names)
+        for n in range(chosen, len(within)):
+            within[n] = n == chosen or self.above[n] >= chosen and within[self.above[n]]
+        return "\n".join(x.text for x in self.lines if x.inside >= 0 and within[x.inside])
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -87,14 +108,14 @@ def strip_markup(page: str) -> _Page:
     """Lines of the page's blocks, without text that markup marks as no article."""
     out, stack, at = _Page(), [], 0
     text: list[str] = []
+    opened: Counter[str] = Counter()
     plain = links = 0
 
     def flush() -> None:
         nonlocal plain
         line = " ".join("".join(text).split())
         if line:
-            where = tuple(o.number for o in stack if o.name in BLOCK)
-            out.lines.append(Line(line, min(plain, len(line)), where, any(o.name in ("h1", "h2") for o in stack)))
+            out.lines.append(Line(line, min(plain, len(line)), stack[-1].container if stack else -1, bool(stack) and stack[-1].heading))
         text.clear()
         plain = 0
 
@@ -111,6 +132,7 @@ def strip_markup(page: str) -> _Page:
         if any(o.name in BLOCK for o in stack[index:]):
             flush()
         links -= sum(o.name == "a" for o in stack[index:])
+        opened.subtract(o.name for o in stack[index:])
         del stack[index:]
 
     def last(names: tuple[str, ...] | frozenset[str], stop: frozenset[str] = frozenset()) -> int:
@@ -134,7 +156,7 @@ def strip_markup(page: str) -> _Page:
                 add(token[0][9:].removesuffix("]]>"))
             continue
         if token[1] or token[4]:
-            found = last((name,))
+            found = last((name,)) if opened[name] > 0 else -1
             if found >= 0:
                 close(found)
             elif name == "p":
@@ -153,23 +175,26 @@ def strip_markup(page: str) -> _Page:
                 flush()
             continue
         if name in BLOCK:
-            opened = last(("p",), scopes)
-            if opened >= 0:
-                close(opened)
+            if (at_p := last(("p",), scopes)) >= 0:
+                close(at_p)
             for closed, until in ((("li",), frozenset({"ul", "ol", "menu"})), (("dd", "dt"), frozenset({"dl"})),
                                   (("td", "th"), frozenset({"tr", "table"})), (("tr",), frozenset({"table"}))):
-                if name in closed and (opened := last(closed, until)) >= 0:
-                    close(opened)
+                if name in closed and (before := last(closed, until)) >= 0:
+                    close(before)
             flush()
-        elif name == "a" and (opened := last(("a",), scopes)) >= 0:
-            close(opened)
+        elif name == "a" and links and (before := last(("a",), scopes)) >= 0:
+            close(before)
         if attributes.endswith("/") and name not in BLOCK and name != "a":
             continue
         in_main = bool(stack) and stack[-1].main
         dropped = bool(stack) and stack[-1].dropped or _is_chrome(name, attributes, in_main)
         main = in_main or name in MAIN or 'role="main"' in attributes
-        stack.append(_Open(name, len(out.names), dropped, main))
+        around = stack[-1].container if stack else -1
+        number = len(out.names)
+        stack.append(_Open(name, number, dropped, main, number if name in BLOCK else around, name in ("h1", "h2") or bool(stack) and stack[-1].heading))
         out.names.append(name)
+        out.above.append(around)
+        opened[name] += 1
         links += name == "a"
     flush()
     return out
@@ -196,26 +221,21 @@ def main_text(page: str | None) -> str:
     lines = made.lines
     if not lines:
         return ""
+    whole = made.sizes(lines)
     article = [n for n, name in enumerate(made.names) if name in MAIN]
-    if article:
-        holds = {n: sum(x.plain for x in lines if n in x.inside) for n in article}
-        most = max(holds.values())
-        if most > 0:  # the innermost of those with nearly all of the text
-            chosen = max((n for n in article if holds[n] >= HOLDS * most), key=lambda n: n)
-            return "\n".join(x.text for x in lines if chosen in x.inside)
+    most = max((whole[n] for n in article), default=0)
+    if most > 0:  # the innermost of those with nearly all of the text
+        return made.text_in(max(n for n in article if whole[n] >= HOLDS * most))
     first, past = core(lines)
     if first == past:
         first, past = 0, len(lines)
         if sum(x.plain for x in lines) == 0:
             return ""
+    held = made.sizes(lines[first:past])
     total = sum(x.plain for x in lines[first:past])
-    holds: dict[int, int] = {}
-    for line in lines[first:past]:
-        for n in line.inside:
-            holds[n] = holds.get(n, 0) + line.plain
-    held = [n for n, size in holds.items() if size >= HOLDS * total and made.names[n] not in ("html", "body")]
-    if held:
-        return "\n".join(x.text for x in lines if max(held) in x.inside)
+    inner = [n for n, size in enumerate(held) if size >= total and made.names[n] in BLOCK and made.names[n] not in ("html", "body")]
+    if inner:
+        return made.text_in(max(inner))
     while first > 0 and lines[first - 1].heading:
         first -= 1
     return "\n".join(x.text for x in lines[first:past] if x.plain > 0 or len(x.text) < 2)
