@@ -5,6 +5,7 @@ numbers, ranges for addresses) and words nearby raise or lower the score. Base s
 fixed patterns and always stay; the method adds account numbers, and phone, national and card numbers of
 looser form whose score reaches the threshold.
 """
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -110,11 +111,14 @@ def added_spans(text: str, base: list[tuple[int, int, str]], threshold: float =
         digits = _digits(m.group())
         if 12 <= len(digits) <= 13 and luhn(digits):  # the short forms clash with other numbers: only context lets them pass
             found.append((m.start(), m.end(), "card", False))
+    taken = sorted((a, b) for a, b, _ in base)
     out = []
     for start, end, kind, confirmed in found:
         if kind in ("iban", "national") and not confirmed:
             continue
-        if score(text, start, end, kind, confirmed) >= threshold and not any(a < end and start < b for a, b, *_ in [*base, *out]):
+        at = bisect.bisect_left(taken, (end, end))
+        if all(b <= start for _, b in taken[max(0, at - len(KINDS)):at]) and score(text, start, end, kind, confirmed) >= threshold:
+            bisect.insort(taken, (start, end))
             out.append((start, end, kind))
     return out
 

@@ -75,10 +75,10 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def ordinary_strings(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Words of about ``sample_docs`` documents, chosen by hash, in which no fixed pattern matches."""
+    """Words of about ``sample_docs`` different documents, chosen by hash, in which no fixed pattern matches."""
     docs = documents.select("text").where(F.col("text").isNotNull())
     every = max(1, docs.count() // sample_docs)
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).dropDuplicates(["text"])  # copies would all be picked together
     for kind in ("assign", "access", "hex"):
         picked = picked.where(~F.rlike("text", F.lit(KINDS[kind])))
     return picked.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("s"))
