@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.lineage import durable, stored
-from turnwise.llm.common import whole
+from turnwise.llm.common import boxed, unboxed, whole
 
 SHINGLE = 4  # words
 ALIKE, OF = 85, 100  # linked from OF * intersection >= ALIKE * union
@@ -77,7 +77,7 @@ def _bands_of(n: int) -> list[tuple[int, int, int]]:
     for i, (low, _, last, allowed) in enumerate(_known):
         if low <= n <= last and allowed > 0:
             out.append((i, allowed + 3 + allowed // 24, allowed))
-    return out[-3:]
+    return out
 
 
 def segment_keys(shingles: np.ndarray) -> np.ndarray:
@@ -176,29 +176,22 @@ def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
             .where(_alike(inter, F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
 
-def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Linked pairs between the rows of a block's two sides that are in different components."""
+def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs between the two sides of a block that are in different components and that sizes and sketches allow to be linked."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    tokens = np.concatenate([np.asarray(s) for s in left["shingles"]] or [np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(left)), [len(s) for s in left["shingles"]])
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    size = np.array([len(s) for s in left["shingles"]], dtype=np.int64)
-    comp, name = left["label"].to_numpy(), left["set"].to_numpy()
+    bits = np.stack([np.asarray(s, dtype=np.int64) for s in left["sketch"]]).view(np.uint64)
+    size, comp, name = (left[c].to_numpy() for c in ("n_shingles", "label", "set"))
     out = []
-    for row in right.itertuples():
-        mine = np.asarray(row.shingles)
-        lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-        hit = np.concatenate([owner[i:j] for i, j in zip(lo, hi, strict=True) if j > i] or [np.zeros(0, np.int64)])
-        inter = np.bincount(hit, minlength=len(left))
-        good = (OF * inter >= ALIKE * (size + len(mine) - inter)) & (comp != row.label)
-        out += [(int(n), int(row.set)) for n in name[good]]
+    for mine, n, label, other in zip(right["sketch"], right["n_shingles"], right["label"], right["set"], strict=True):
+        apart = np.bitwise_count(bits ^ np.asarray(mine, dtype=np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        good = ((OF + ALIKE) * apart <= (OF - ALIKE) * (size + n)) & (OF * np.minimum(size, n) >= ALIKE * np.maximum(size, n)) & (comp != label)
+        out += [(int(a), int(other)) for a in name[good]]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _rest(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that leaders have not shown: in each leader's circle, the sets outside its largest component
-    are compared in blocks with all others of the circle. buckets: leader, set, label."""
+def _rest(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates (a, b) that leaders have not met: in each leader's circle, the sketches outside its largest
+    component are compared in blocks with all others of the circle. buckets: leader, set, label."""
     circle = buckets.select("leader", "set", "label").distinct()
     counts = circle.groupBy("leader", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
@@ -210,7 +203,9 @@ def _rest(buckets: DataFrame, sets: DataFrame) -> DataFrame:
                                         F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("c"))
              .union(marked.select("leader", "set", "label", F.lit(1).alias("side"),
                                   F.explode(F.sequence(F.lit(0), blocks_few - 1)).alias("f"), at(blocks_all).alias("c")).select("leader", "set", "label", "side", "f", "c")))
-    return sides.join(sets, "set").groupBy("leader", "f", "c").applyInPandas(_block_links, "a bigint, b bigint").distinct()
+    rows = sides.join(classes.select("set", "n_shingles", "sketch"), "set")
+    pairs = rows.groupBy("leader", "f", "c").applyInPandas(_block_pairs, "a bigint, b bigint")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join_alike(documents: DataFrame) -> DataFrame:
@@ -253,14 +248,17 @@ def join_alike(documents: DataFrame) -> DataFrame:
         return named.join(split, "key", "left_semi")
 
     still = durable(open_circles(labels).select("leader", "set", "label").distinct())
-    lead_label = still.where("leader = set").select("leader", F.col("label").alias("_lead"))
-    second = still.join(lead_label, "leader").where("label <> _lead").select(F.col("set").alias("a"), F.col("leader").alias("b"))
-    second = second.join(best, ["a", "b"], "left_anti").distinct()
-    links = durable(links.union(_verified(second, classes, sets)).distinct())
-    labels = components(links)
-
-    links = durable(links.union(_rest(open_circles(labels), sets)).distinct())
-    labels = components(links)
+    if not still.isEmpty():
+        lead_label = still.where("leader = set").select("leader", F.col("label").alias("_lead"))
+        second = still.join(lead_label, "leader").where("label <> _lead").select(F.col("set").alias("a"), F.col("leader").alias("b"))
+        more = durable(_verified(second.join(best, ["a", "b"], "left_anti").distinct(), classes, sets).distinct())
+        if not more.isEmpty():
+            links = durable(links.union(more))
+            labels = components(links)
+            still = durable(open_circles(labels).select("leader", "set", "label").distinct())
+        last = durable(_verified(_rest(still, classes), classes, sets).distinct())
+        if not last.isEmpty():
+            labels = components(links.union(last))
 
     rows = sketched.select("doc_id", "n_shingles", "set").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     first = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -274,7 +272,6 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Documents without a word stay, and so do rows without doc_id.
     """
     kept = join_alike(documents).where("doc_id = component_id").select("doc_id").distinct()
-    named = documents.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    place = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in documents.columns if c != "doc_id"])
-    first = named.withColumn("_nth", F.row_number().over(place)).where("_nth = 1").drop("_nth")
-    return first.select(*[F.col(f"`{c}`") for c in documents.columns]).unionByName(documents.where(F.col("doc_id").isNull()))
+    named = boxed(documents.where(F.col("doc_id").isNotNull()), "doc_id").join(kept, "doc_id", "left_semi")
+    first = named.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_row"))).where("_nth = 1")
+    return unboxed(first, documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
