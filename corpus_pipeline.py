@@ -5,11 +5,10 @@ mixed to their targets, and the rest is packed into sequences. Each stage takes
 all that the stage before it kept; all but the last return the columns of ``documents``.
 """
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from turnwise.lineage import new_folder
 from turnwise.llm import jaccard_join, mixing, packing, secret_scan, toxicity
-from turnwise.llm.common import table
+from turnwise.llm.common import boxed, table, unboxed
 
 #: Models that are fitted and joins that are iterated have no SQL.
 ORACLE_SQL = None
@@ -17,8 +16,8 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of the kept documents, does not call toxic."""
-    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return unboxed(toxicity.scores(boxed(docs, "text"), model).where("predicted = 0"), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +27,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark and its length counted anew."""
-    masked = secret_scan.redact(docs)
-    return masked.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
+    return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in whole copies."""
-    return mixing.copies(docs).select(*docs.columns)
+    return mixing.copies(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

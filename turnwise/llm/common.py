@@ -28,6 +28,16 @@ def words(text: Column) -> Column:
     return F.array_compact(F.transform(parts, lambda w: F.when(w != "", w)))
 
 
+def boxed(df: DataFrame, *names: str) -> DataFrame:
+    """Rows as ``_row`` beside copies of the named columns, so that columns an operator adds meet no other of their name."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *names)
+
+
+def unboxed(df: DataFrame, columns: Sequence[str], **changed: Column) -> DataFrame:
+    """The columns of the boxed rows, some of them changed."""
+    return df.select(*[(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def running_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, start: str,
                   bucket: Column, coarse: Column) -> DataFrame:
     """Add ``start``: the sum of ``size`` over the earlier rows of the key.

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.lineage import durable, stored
-from turnwise.llm.common import whole, words
+from turnwise.llm.common import boxed, unboxed, whole, words
+from turnwise.operators.ordered import lookup
 
 WEIGHTS = (3.0, 1.0, 2.0)  # of sources by code point, repeating
 SHARE = 1.5  # of all words that the mix has
@@ -104,16 +105,17 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     goals = durable(targets(sizes, weights, share, most))
     state = duals(counts, goals, most)
     uniform = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rated = sized.join(state, "key").withColumn("rate", _rate(F.col("dual"), F.col("size"), F.col("mean"), most))
+    rated = lookup(sized, state, ["key"], ["doc_id"], "inner").withColumn("rate", _rate(F.col("dual"), F.col("size"), F.col("mean"), most))
     rated = rated.withColumn("_low", F.floor("rate")).withColumn("_bucket", F.when(
-        F.col("_low") < most, F.floor((uniform(1) - (F.col("rate") - F.col("_low")) + 1) * (BUCKETS / 2))))
+        F.col("_low") < most, F.floor((uniform(1) - (F.col("rate") - F.col("_low")) + 1) * (BUCKETS / 2))
+    ).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))))  # no more copies: dealt over buckets that ask for none
     sums = rated.groupBy("key", "_bucket").agg(F.sum("size").alias("_sum"), F.sum(F.col("_low") * F.col("size")).alias("_whole"),
                                               F.first("target").alias("_target"))
     inside = Window.partitionBy("key")
     sums = sums.withColumn("_left", F.col("_target") - F.sum("_whole").over(inside)).withColumn(
-        "_before", F.coalesce(F.sum("_sum").over(inside.orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        "_before", F.coalesce(F.sum(F.when(F.col("_bucket") >= 0, F.col("_sum"))).over(inside.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_left") - F.col("_before")) / F.greatest(F.col("_sum"), F.lit(1))))
-    sums = sums.where(F.col("_bucket").isNotNull()).select("key", "_bucket", part.alias("_part"))
+    sums = sums.where("_bucket >= 0").select("key", "_bucket", part.alias("_part"))
     placed = rated.join(sums, ["key", "_bucket"], "left").withColumn("_part", F.coalesce("_part", F.lit(0.0)))
     more = F.when(F.col("_part") >= 1, 1).when(F.col("_part") <= 0, 0).otherwise((uniform(2) < F.col("_part")).cast("int"))
     words_of = F.floor(F.col("_part") * F.col("size") + 0.5) if partial else more * F.col("size")
@@ -129,10 +131,9 @@ def copies(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     Copies are decided by doc_id, source and size, so rows that share these are taken alike. Rows without a word are kept once: they
     weigh nothing.
     """
-    taken = mix(documents, weights, share, most, partial=False).select("doc_id", "key", "size", "copies").distinct()
-    sized = documents.withColumns({"_key": key_of(), "_size": F.size(words(whole())).cast("bigint")})
-    on = taken["doc_id"].eqNullSafe(sized["doc_id"]) & (taken["key"] == sized["_key"]) & (taken["size"] == sized["_size"])
+    taken = mix(documents, weights, share, most, partial=False).select(F.col("doc_id").alias("_id"), "key", "size", "copies").distinct()
+    sized = boxed(documents, "doc_id", key_of().alias("_key"), F.size(words(whole())).cast("bigint").alias("_size"))
+    on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size"))
     times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.coalesce("copies", F.lit(0))).cast("int")
-    chosen = sized.join(taken.select("doc_id", "key", "size", "copies"), on, "left").select(
-        *[sized[c] for c in documents.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("_copy"))
-    return chosen.select(*[F.col(f"`{c}`") for c in documents.columns])
+    chosen = sized.join(taken, on, "left").select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy"))
+    return unboxed(chosen, documents.columns)

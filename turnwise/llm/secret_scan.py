@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import whole
+from turnwise.llm.common import boxed, unboxed, whole
 
 # Kinds in their order, each with its pattern.
 KINDS = {
@@ -147,7 +147,7 @@ def train(documents: DataFrame) -> list[float]:
 
 
 def find_secrets(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``n_<kind>``, ``base_sha256`` and ``spans`` to ``documents``."""
+    """Adds ``n_<kind>``, ``base_sha256`` and ``spans`` to ``documents``; columns of these names, and of those that begin with an underscore and a kind, are replaced."""
     found = scan(documents, train(documents), threshold)
     base = F.filter("_found", lambda s: s["rank"] < ORDER["markov"])
     counts = {f"n_{kind}": _count(kind) for kind in KINDS}
@@ -155,8 +155,11 @@ def find_secrets(documents: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` with every span of ``text`` replaced by ``mark``; overlapping spans by one. A null text stays null."""
-    found = scan(documents, train(documents), threshold)
+    """``documents`` with every span of ``text`` replaced by ``mark``; overlapping spans by one. A null text stays null.
+
+    Where a text changes, ``n_chars`` does too. All other columns stay, whatever their names.
+    """
+    found = scan(boxed(documents, "text"), train(documents), threshold)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     part = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
 
@@ -167,4 +170,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", threshold: float = THRE
 
     rest = lambda s: F.concat(s["out"], part(s["at"], F.char_length("text").cast("bigint")))
     clean = F.when(F.size("_found") > 0, F.aggregate("_found", start, step, rest)).otherwise(F.col("text"))
-    return found.withColumn("text", clean).drop("_found")
+    masked = {"text": clean}
+    if "n_chars" in documents.columns:
+        masked["n_chars"] = F.when(F.size("_found") > 0, F.char_length(clean).cast("bigint")).otherwise(F.col("_row").getField("n_chars"))
+    return unboxed(found, documents.columns, **masked)
