@@ -1,11 +1,12 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document's terms are its word shingles, weighted by their counts. Each term draws two Gamma(2, 1)
-values and an offset from its own hash; they give the term's sampled level for its weight and a rank, and
-the term of least rank, with its level, is a sample that two documents share with the probability of
-their generalised Jaccard similarity. Terms are dealt over ``BINS`` bins and each bin keeps its own sample, so
-a term is drawn once, not once per sample. A bin without terms takes the sample of a filled bin, the
-same one for all documents in which that bin is filled.
+A document's terms are its word shingles, weighted by their counts. A weight is cut into pieces of at most
+one, (term, 0), (term, 1) and so on, which leaves generalised Jaccard similarity as it is and keeps a heavy
+term from filling a bin. Each piece draws two Gamma(2, 1) values and an offset from its own hash; they give its level and its rank, and
+the piece of least rank is a sample that two documents share with the probability of
+their generalised Jaccard similarity. Pieces are dealt over ``BINS`` bins and each bin keeps its own sample, so
+a piece is drawn once, not once per sample. A bin without terms takes the sample of the next filled bin,
+changed by its distance, so that two empty bins agree if the bins that they borrow from do.
 
 All of it is column expressions; ``_let`` evaluates a value once and names it.
 """
@@ -18,8 +19,8 @@ from turnwise.lineage import new_folder
 from turnwise.llm.common import whole, words
 
 SHINGLE = 5  # words
-BINS = 128
-BITS = 16  # of a sample in the fingerprint
+BINS = 128  # a power of two
+BITS = 15  # of a sample in the fingerprint
 BLOCK_BITS = 12  # doc_ids of a block share all bits but these
 
 
@@ -36,49 +37,54 @@ def terms(text: Column, width: int = SHINGLE) -> Column:
     return F.sort_array(_let(F.transform(words(text), lambda w: F.xxhash64(w)), cut))
 
 
-def _uniform(bits: Column) -> Column:
-    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) / float(1 << 32)
+def _uniform(bits: Column, part: int) -> Column:
+    """One of the three 21-bit parts of a hash, in (0, 1)."""
+    return (F.shiftrightunsigned(bits, 21 * part).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / float(1 << 21)
 
 
-def _sample(term: Column, weight: Column, bins: int) -> Column:
-    """bin, rank and 16 bits of (term, level) of one weighted term, packed so that order is by bin, then rank."""
-    def drawn(h: Column) -> Column:
-        r = -F.ln(_uniform(h["a"]) * _uniform(F.shiftrightunsigned(h["a"], 32)))
-        c = -F.ln(_uniform(h["b"]) * _uniform(F.shiftrightunsigned(h["b"], 32)))
-        return F.struct(r.alias("r"), c.alias("c"), _uniform(h["d"]).alias("beta"), F.shiftrightunsigned(h["d"], 32).alias("spare"))
+def _sample(piece: Column, bins: int) -> Column:
+    """bin, rank and mark of one piece of weight one, packed so that order is by bin, then rank.
 
-    def ranked(d: Column) -> Column:
-        def packed(level: Column) -> Column:
-            rank = F.ln(d["c"]) - d["r"] * (level - d["beta"]) - d["r"]
-            place = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(127.9), rank + 96)) * float(1 << 26)).cast("bigint")
-            mark = F.xxhash64(term, level).bitwiseAND(F.lit((1 << BITS) - 1))
-            return F.shiftleft((d["spare"] % bins), 33 + BITS) + F.shiftleft(place, BITS) + mark
-
-        return _let(F.floor(F.ln(weight) / d["r"] + d["beta"]), packed)
+    With r and c from Gamma(2, 1) and a uniform offset beta, weight w has the level t = floor(ln w / r + beta) and the rank
+    ln c - r (t - beta) - r. A piece weighs one, so its level is 0.
+    """
+    def packed(h: Column) -> Column:
+        r = -F.ln(_uniform(h["a"], 0) * _uniform(h["a"], 1))
+        c = -F.ln(_uniform(h["a"], 2) * _uniform(h["b"], 0))
+        rank = F.ln(c) - r * (1 - _uniform(h["b"], 1))
+        place = F.floor((F.greatest(F.lit(-95.0), rank) + 96) * float(1 << 26))
+        rest = F.shiftrightunsigned(h["b"], 42)
+        return F.shiftleft(rest.bitwiseAND(F.lit(bins - 1)), 33 + BITS) + F.shiftleft(place, BITS) + F.shiftrightunsigned(rest, 22 - BITS)
 
-    seeds = F.struct(F.xxhash64(F.lit(1), term).alias("a"), F.xxhash64(F.lit(2), term).alias("b"), F.xxhash64(F.lit(3), term).alias("d"))
-    return _let(_let(seeds, drawn), ranked)
+    return _let(F.struct(F.xxhash64(F.lit(1), piece).alias("a"), F.xxhash64(F.lit(2), piece).alias("b")), packed)
 
 
 def samples(text: Column, bins: int = BINS, width: int = SHINGLE) -> Column:
     """The sample of each bin; an empty array for a text without a word."""
     def weighted(s: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return _let(first, lambda f: F.sort_array(F.transform(f, lambda at, k: _sample(
-            F.get(s, at), F.coalesce(F.get(f, k + 1), F.size(s)) - at, bins))))
+        def pieces(f: Column) -> Column:
+            weight = lambda at, k: F.coalesce(F.get(f, k + 1), F.size(s)) - at
+            heavy = F.filter(F.transform(f, lambda at, k: F.struct(F.get(s, at).alias("t"), weight(at, k).alias("w"))), lambda x: x["w"] > 1)
+            more = F.transform(heavy, lambda x: F.transform(F.sequence(F.lit(1), x["w"] - 1), lambda j: _sample(F.xxhash64(x["t"], j), bins)))
+            firsts = F.transform(f, lambda at: _sample(F.get(s, at), bins))
+            return F.sort_array(F.when(F.size(f) < F.size(s), F.concat(firsts, F.flatten(more))).otherwise(firsts))
+
+        return _let(first, pieces)
 
     def least(p: Column) -> Column:
         return F.filter(p, lambda x, k: (k == 0) | (F.shiftright(x, 33 + BITS) != F.shiftright(F.get(p, k - 1), 33 + BITS)))
 
     def filled(kept: Column) -> Column:
-        def dense(at: Column) -> Column:
-            mark = lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-            lent = lambda b: F.array_min(F.transform(kept, lambda x: F.struct(
-                F.xxhash64(b, F.shiftright(x, 33 + BITS)).alias("o"), mark(x).alias("m"))))["m"]
-            return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: _let(F.array_position(at, b.cast("bigint")), lambda p: F.when(
-                p > 0, mark(F.get(kept, (p - 1).cast("int")))).otherwise(lent(b))))
-
-        return _let(F.transform(kept, lambda x: F.shiftright(x, 33 + BITS)), dense)
+        """Each bin's mark; a bin without one takes the next filled bin's, changed by how far that is, the last ones the first's."""
+        at = lambda x: F.shiftright(x, 33 + BITS).cast("int")
+        lent = lambda x, far: F.transform(F.sequence(far, F.lit(0)), lambda t: (
+            x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int") + t * 40503) % (1 << BITS))
+        runs = F.transform(kept, lambda x, k: lent(x, at(x) - F.coalesce(at(F.get(kept, k - 1)) + 1, F.lit(0))))
+        over = F.lit(bins - 1) - at(F.element_at(kept, -1))
+        first = F.get(kept, F.lit(0))
+        rest = F.when(over > 0, F.slice(lent(first, at(first) + over), 1, over)).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.flatten(runs), rest)
 
     none = F.array().cast("array<int>")
     return _let(terms(text, width), lambda s: F.when(F.size(s) > 0, _let(_let(weighted(s), least), filled)).otherwise(none))
