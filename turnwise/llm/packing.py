@@ -17,52 +17,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.lineage import new_folder, stored
+from turnwise.lineage import new_folder
 from turnwise.llm.common import running_start, whole
 from turnwise.llm.mixing import key_of
+from turnwise.operators.ordered import lookup
 
 LENGTH = 2048  # tokens of a sequence
 WINDOW = 32 * LENGTH  # tokens over which the sources' shares hold
 END = 1  # id after every document
-CACHED = 500_000  # words whose ids a worker keeps
 BATCH = 500  # documents encoded at a time
 
-_SPACE = re.compile(r"\s")
+#: Characters beyond the Latin letters and signs, of which pattern libraries may know different classes.
+FAR = re.compile(r"[^\t\n\r -~\u00A0-\u024F]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Words:
-    """Token ids of texts by one tokenizer file, through a bounded cache of words.
+    """Token ids of texts by one byte-level tokenizer file.
 
-    The byte-level tokenizers split a text before a space that stands between two other characters,
-    whatever these are, so ids of " word" can be kept. Texts with other white space beside a space are encoded whole.
+    The file's vocabulary and its cutting pattern are also given to a second, much faster engine, which has the same
+    ids for Latin text; texts with other characters or with a special token are encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+        byte_of = {letter: byte for byte, letter in _byte_letters().items()}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split = [t.split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        odd = [i for i, s in enumerate(split) if "" in s[1:] or s[0] == "" and len(s) > 1 or any(_SPACE.match(w) for w in s[1:] if w[0] < "!" or w[0] > "~")]
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        plain = [i for i in range(len(texts)) if out[i] is None]
-        missing = list({w for i in plain for w in split[i][1:] if w not in known})
-        known.update(zip(missing, self._encode([" " + w for w in missing]), strict=True))
-        firsts = self._encode([split[i][0] for i in plain])
-        for i, first in zip(plain, firsts, strict=True):
-            out[i] = first + b"".join([known[w] for w in split[i][1:]])
-        return out
+        slow = [i for i, t in enumerate(texts) if FAR.search(t) or any(s in t for s in self.special)]
+        found = dict(zip(slow, (e.ids for e in self.tokenizer.encode_batch([texts[i] for i in slow], add_special_tokens=False)), strict=True))
+        ids = (found[i] if i in found else self.fast.encode_ordinary(t) for i, t in enumerate(texts))
+        return [np.array(x, dtype=self.kind).tobytes() for x in ids]
 
 
 @lru_cache(maxsize=2)
@@ -98,20 +97,20 @@ def encoded(documents: DataFrame, tokenizer: str) -> DataFrame:
 def placed(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """Pieces (row, start, length, sequence_id, offset) of the rows (row, doc_id, key, n)."""
     count, tokens = rows.agg(F.count("*"), F.sum("n")).first()
-    windows = max(1, -(-(tokens or 0) // window))
     bits = max(0, (count // 2048).bit_length())
     mark = F.shiftrightunsigned(F.xxhash64("row"), 1)
     queued = rows.select("row", "key", "n").withColumn("_h", mark)
     queued = running_start(queued, ["key"], ["_h", "row"], "n", "_at", F.shiftright("_h", 63 - bits) if bits else F.lit(0),
                            F.shiftright("_h", max(0, 63 - max(0, bits - 10))) if bits > 10 else F.lit(0))
     totals = rows.groupBy("key").agg(F.sum("n").alias("_all"))
-    big = f"cast({windows} as decimal(18,0))"
-    cut = (queued.join(totals, "key")
-           .withColumn("_first", F.expr(f"(cast(_at as decimal(20,0)) * {big}) div _all"))
-           .withColumn("_last", F.expr(f"(cast(_at + n - 1 as decimal(20,0)) * {big}) div _all"))
+    # window w of a source begins at its token ceil(w * quantum), its quantum being its tokens * window / all tokens
+    every, share = f"cast({tokens or 1} as decimal(18,0))", f"(cast(_all as decimal(18,0)) * {window})"
+    starts = lambda w: F.expr(f"(cast({w} as decimal(18,0)) * {share} + {every} - 1) div {every}")
+    cut = (lookup(queued, totals, ["key"], ["row"], "inner")
+           .withColumn("_first", F.expr(f"(cast(_at as decimal(18,0)) * {every}) div {share}"))
+           .withColumn("_last", F.expr(f"(cast(_at + n - 1 as decimal(18,0)) * {every}) div {share}"))
            .withColumn("_w", F.explode(F.sequence("_first", "_last")))
-           .withColumn("_from", F.expr(f"(cast(_w as decimal(20,0)) * _all + {windows - 1}) div {big}"))
-           .withColumn("_to", F.expr(f"(cast(_w + 1 as decimal(20,0)) * _all + {windows - 1}) div {big}"))
+           .withColumn("_from", starts("_w")).withColumn("_to", starts("_w + 1"))
            .withColumn("_s", F.greatest("_at", "_from"))
            .withColumn("_n", F.least(F.col("_at") + F.col("n"), F.col("_to")) - F.col("_s"))
            .withColumn("_turn", (F.col("_s") - F.col("_from")) / F.greatest(F.col("_to") - F.col("_from"), F.lit(1)))
