@@ -184,6 +184,27 @@ def test_page_corners():
     assert html_text.main_text("<div>" * 3000 + "deep text " * 20) == ("deep text " * 20).strip()
 
 
+def test_articles_bound_and_extend_the_stretch():
+    words = lambda n, w: f"<p>{(w + ' ') * (n // (len(w) + 1))}</p>"
+    both = html_text.main_text(f"<body><article>{words(1000, 'first')}</article><article>{words(850, 'second')}</article></body>")
+    assert both.count("first") == 166 and both.count("second") == 121
+    apart = "<ul>" + "<li><a href=/>link</a>" * 5 + "</ul>"
+    both = html_text.main_text(f"<div><article>{words(1000, 'first')}</article>{apart}<article>{words(850, 'second')}</article></div>")
+    assert both.count("first") == 166 and both.count("second") == 121 and "link" not in both
+    nested = html_text.main_text(f"<main><h1>Title</h1><p>The lede of it.</p><article>{words(900, 'body')}</article></main>")
+    assert nested.startswith("Title\nThe lede of it.\nbody body")
+    card = html_text.main_text(f"<body><article>A card of a few words.</article>{apart}<div>{words(3000, 'text')}</div></body>")
+    assert card.count("text") == 600 and "card" not in card
+
+
+def test_class_words_do_not_drop_most_of_the_page():
+    long = "<p>" + "word " * 100 + "</p>"
+    for wrap in ('<div class="social-post">{}</div>', '<article><h1>T</h1><section id="notice"><div class="comments">{}</div></section></article>', '<span class="ad">{}</span>'):
+        assert html_text.main_text("<body><p>Lead in.</p>" + wrap.format(long + '<div class="ad">Buy this now.</div>') + "</body>").count("word") == 100
+        assert "Buy" not in html_text.main_text("<body>" + wrap.format(long + '<div class="ad">Buy this now.</div>') + "</body>")
+    assert html_text.main_text(f'<body><div hidden class="ad">{long}</div><p>Seen.</p></body>') == "Seen."
+
+
 def test_pages_query(spark, run, nothing):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = run("op7_html_text")

@@ -4,7 +4,8 @@ Markup is stripped to lines, one per block of the page; text that markup itself
 forms and the like is left out. Text lengths are summed over sliding windows of lines. A surge is a
 window that rises over the threshold, a dive one that falls to nothing; the stretch between them
 with the most text is the core. The text is what the core's own container holds, so short first and last
-paragraphs are not cut; where the core lies straight in the body, it is the stretch itself.
+paragraphs are not cut; where the core lies straight in the body, it is the stretch itself. Article and main
+elements bound and extend the core: those that hold most of it, and their siblings with text, are the text as a whole.
 """
 import html
 import re
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3  # lines of a window
 SURGE = 60  # characters without links that a window must reach
-HOLDS = 0.8  # share of the largest article element that an inner one must hold to be taken instead
+HOLDS = 0.5  # article elements bound the core from so much text, as a share of what the best stretch has outside them
+MOST = 0.5  # an element with more than this share of the page's text is kept, whatever its class
 
 # Element names by what they do to the text.
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed".split())
@@ -57,6 +59,9 @@ class _Open:
     main: bool
     container: int  # the innermost block element, itself included
     heading: bool
+    chrome: bool  # dropped, and not only for a class
+    named: bool  # its class says that it is no article
+    before: int  # characters seen before it
 
 
 @dataclass
@@ -64,6 +69,7 @@ class _Page:
     lines: list[Line] = field(default_factory=list)
     names: list[str] = field(default_factory=list)  # of elements by number
     above: list[int] = field(default_factory=list)  # the container around each element, -1 for none; always a smaller number
+    most: frozenset[int] = frozenset()  # elements left out for their class that hold most of the page's text
 
     def sizes(self, lines: list[Line]) -> list[int]:
         """Characters outside links that each element holds."""
@@ -76,11 +82,21 @@ class _Page:
                 out[self.above[n]] += out[n]
         return out
 
-    def text_in(self, chosen: int) -> str:
+    def lines_in(self, chosen: set[int]) -> list[bool]:
+        """Which lines lie in one of the chosen elements."""
         within = [False] * len(self.names)
-        for n in range(chosen, len(within)):
-            within[n] = n == chosen or self.above[n] >= chosen and within[self.above[n]]
-        return "\n".join(x.text for x in self.lines if x.inside >= 0 and within[x.inside])
+        for n in range(len(within)):
+            within[n] = n in chosen or self.above[n] >= 0 and within[self.above[n]]
+        return [x.inside >= 0 and within[x.inside] for x in self.lines]
+
+    def articles(self) -> list[int]:
+        """The outermost article and main elements."""
+        inner, out = [False] * len(self.names), []
+        for n, name in enumerate(self.names):
+            inner[n] = self.above[n] >= 0 and (inner[self.above[n]] or self.names[self.above[n]] in MAIN)
+            if name in MAIN and not inner[n]:
+                out.append(n)
+        return out
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -88,6 +104,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_chrome(name: str, attributes: str, in_main: bool) -> bool:
+    """Whether the element itself, its state or its role says that it is no article."""
     if name in DROPPED or name == "header" and not in_main:
         return True
     if not attributes.strip() or name in ("html", "body", "main", "article", "a"):
@@ -95,8 +112,14 @@ def _is_chrome(name: str, attributes: str, in_main: bool) -> bool:
     found = _attributes(attributes)
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    if found.get("role", "").lower() in ROLES:
-        return True
+    return found.get("role", "").lower() in ROLES
+
+
+def _named_chrome(name: str, attributes: str, in_main: bool) -> bool:
+    """Whether a word of the element's class or id says so."""
+    if not attributes.strip() or name in ("html", "body", "main", "article", "a"):
+        return False
+    found = _attributes(attributes)
     for token in (found.get("class", "") + " " + found.get("id", "")).split():
         parts = [p.lower() for p in PARTS.findall(token)]
         if parts and parts[0] not in HARMLESS and (set(parts) & CHROME or not in_main and set(parts) & HEADERS):
@@ -105,11 +128,20 @@ def _is_chrome(name: str, attributes: str, in_main: bool) -> bool:
 
 
 def strip_markup(page: str) -> _Page:
-    """Lines of the page's blocks, without text that markup marks as no article."""
+    """Lines of the page's blocks, without text that markup marks as no article.
+
+    An element that holds most of the page's text outside links is never left out for a word of its class.
+    """
+    made = _stripped(page, frozenset())
+    return _stripped(page, made.most) if made.most else made
+
+
+def _stripped(page: str, spared: frozenset[int]) -> _Page:
     out, stack, at = _Page(), [], 0
     text: list[str] = []
     opened: Counter[str] = Counter()
-    plain = links = 0
+    plain = links = seen = 0  # seen: characters outside links and outside what is dropped for other reasons than its class
+    doubtful: list[tuple[int, int]] = []  # element dropped for its class and the characters in it
 
     def flush() -> None:
         nonlocal plain
@@ -120,7 +152,11 @@ def strip_markup(page: str) -> _Page:
         plain = 0
 
     def add(raw: str) -> None:
-        nonlocal plain
+        nonlocal plain, seen
+        if stack and stack[-1].chrome:
+            return
+        if raw and not links:
+            seen += len("".join(raw.split()))
         if raw and not (stack and stack[-1].dropped):
             piece = html.unescape(raw) if "&" in raw else raw
             text.append(piece)
@@ -133,6 +169,7 @@ def strip_markup(page: str) -> _Page:
             flush()
         links -= sum(o.name == "a" for o in stack[index:])
         opened.subtract(o.name for o in stack[index:])
+        doubtful.extend((o.number, seen - o.before) for o in stack[index:] if o.named)
         del stack[index:]
 
     def last(names: tuple[str, ...] | frozenset[str], stop: frozenset[str] = frozenset()) -> int:
@@ -187,58 +224,89 @@ def strip_markup(page: str) -> _Page:
         if attributes.endswith("/") and name not in BLOCK and name != "a":
             continue
         in_main = bool(stack) and stack[-1].main
-        dropped = bool(stack) and stack[-1].dropped or _is_chrome(name, attributes, in_main)
+        chrome = bool(stack) and stack[-1].chrome or _is_chrome(name, attributes, in_main)
+        named = not chrome and _named_chrome(name, attributes, in_main)
         main = in_main or name in MAIN or 'role="main"' in attributes
         around = stack[-1].container if stack else -1
         number = len(out.names)
-        stack.append(_Open(name, number, dropped, main, number if name in BLOCK else around, name in ("h1", "h2") or bool(stack) and stack[-1].heading))
+        dropped = bool(stack) and stack[-1].dropped or chrome or named and number not in spared
+        stack.append(_Open(name, number, dropped, main, number if name in BLOCK else around,
+                           name in ("h1", "h2") or bool(stack) and stack[-1].heading, chrome, named, seen))
         out.names.append(name)
         out.above.append(around)
         opened[name] += 1
         links += name == "a"
     flush()
+    close(0)
+    out.most = frozenset(n for n, size in doubtful if size >= SURGE and size > MOST * seen)
     return out
 
 
-def core(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """[first, last) line of the stretch with the most text between a surge and a dive; empty without a surge."""
+def stretches(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """[first, last) lines of every stretch between a surge and a dive."""
     size = [line.plain for line in lines]
     sums = [sum(size[i:i + window]) for i in range(len(size))]
-    best, start = (0, 0, 0), None
+    out, start = [], None
     for i in range(len(size) + 1):
         low = i == len(size) or sums[i] == 0
         if start is None and not low and sums[i] >= surge and size[i] > 0:
             start = i
         elif start is not None and low:
-            best = max(best, (sum(size[start:i]), -start, -i))
+            out.append((start, i))
             start = None
-    return -best[1], -best[2]
+    return out
+
+
+def core(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """[first, last) line of the stretch with the most text between a surge and a dive; empty without a surge."""
+    return max(stretches(lines, window, surge), key=lambda s: (sum(x.plain for x in lines[s[0]:s[1]]), -s[0]), default=(0, 0))
+
+
+def _bounds(made: _Page, found: list[tuple[int, int]], best: tuple[int, int]) -> set[int]:
+    """The outermost article elements that hold the core; none if they hold too little of the page's best stretch.
+
+    The core is the stretch with the most text in article elements. Their siblings come with them if they have a stretch of their own.
+    """
+    lines, articles = made.lines, made.articles()
+    if not articles:
+        return set()
+    whole, inside = made.sizes(lines), made.lines_in(set(articles))
+    first, past = max(found, key=lambda s: (sum(x.plain for x, a in zip(lines[s[0]:s[1]], inside[s[0]:s[1]], strict=True) if a), -s[0]))
+    held = made.sizes(lines[first:past])
+    chosen = {n for n in articles if held[n] > 0}
+    kept = made.lines_in(chosen)
+    if not chosen or sum(whole[n] for n in chosen) < HOLDS * sum(lines[i].plain for i in range(*best) if not kept[i]):
+        return set()
+    around = {made.above[n] for n in chosen}
+    return chosen | {n for n in articles if made.above[n] in around and whole[n] >= SURGE}
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by line ends; empty if there is none."""
     made = strip_markup(page or "")
     lines = made.lines
-    if not lines:
+    if sum(x.plain for x in lines) == 0:
         return ""
-    whole = made.sizes(lines)
-    article = [n for n, name in enumerate(made.names) if name in MAIN]
-    most = max((whole[n] for n in article), default=0)
-    if most > 0:  # the innermost of those with nearly all of the text
-        return made.text_in(max(n for n in article if whole[n] >= HOLDS * most))
-    first, past = core(lines)
-    if first == past:
-        first, past = 0, len(lines)
-        if sum(x.plain for x in lines) == 0:
-            return ""
+    best = core(lines)
+    found = stretches(lines)
+    if not found:
+        best = (0, len(lines))
+        whole = made.sizes(lines)
+        chosen = {n for n in made.articles() if whole[n] > 0}
+    else:
+        chosen = _bounds(made, found, best)
+    if chosen:
+        return "\n".join(x.text for x, kept in zip(lines, made.lines_in(chosen), strict=True) if kept)
+    first, past = best
     held = made.sizes(lines[first:past])
     total = sum(x.plain for x in lines[first:past])
     inner = [n for n, size in enumerate(held) if size >= total and made.names[n] in BLOCK and made.names[n] not in ("html", "body")]
     if inner:
-        return made.text_in(max(inner))
+        return "\n".join(x.text for x, kept in zip(lines, made.lines_in({max(inner)}), strict=True) if kept)
     while first > 0 and lines[first - 1].heading:
         first -= 1
-    return "\n".join(x.text for x in lines[first:past] if x.plain > 0 or len(x.text) < 2)
+    touched = made.lines_in({n for n in made.articles() if held[n] > 0})  # an article that the stretch reaches into is not cut
+    return "\n".join(x.text for i, x in enumerate(lines) if touched[i] or first <= i < past and (x.plain > 0 or len(x.text) < 2))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
