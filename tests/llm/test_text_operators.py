@@ -160,6 +160,27 @@ def test_licence_forms(spark, docs, nothing):
     assert licences.scan(nothing, known).count() == 0
 
 
+def test_whole_licence_files(spark):
+    body = {name: next(t for n, t in licences.KNOWN if n == name) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    held = "Copyright (c) 2021, Jane Doe\n"
+    gpl, apache = licences.long_text("GPL-2.0"), licences.long_text("Apache-2.0")
+    cases = [
+        ("MIT", "MIT License\n\n" + held + "\n" + body["MIT"]), ("MIT", "# The MIT License (MIT)\n\nCopyright © 2021 Jane Doe\n\n" + body["MIT"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + held + "All rights reserved.\n\n" + body["BSD-3-Clause"]),
+        ("BSD-3-Clause", held + "All rights reserved.\n\n" + re.sub(r"(?<= )[123][.] ", "\n* ", body["BSD-3-Clause"])),
+        ("BSD-2-Clause", "The BSD License\n" + re.sub(r"(?<= )[12][.] ", "\n - ", body["BSD-2-Clause"])), ("ISC", "The ISC License\n\n" + held + body["ISC"]),
+        ("Zlib", "zlib License\n\n(C) 2021 Jane Doe\n\n" + licences._ZLIB), ("Unlicense", licences.long_text("Unlicense")),
+        ("GPL-2.0", gpl), ("GPL-2.0", gpl.split(licences.APPENDIX)[0]), ("GPL-3.0", licences.long_text("GPL-3.0").replace("https://", "http://")),
+        ("LGPL-3.0", licences.long_text("LGPL-3.0")), ("MPL-2.0", licences.long_text("MPL-2.0").replace("\n", "\r\n")), ("EPL-1.0", licences.long_text("EPL-1.0")),
+        ("Apache-2.0", apache), ("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Jane Doe")),
+        ("Apache-2.0", apache.split(licences.APPENDIX)[0] + licences.APPENDIX), (None, gpl.replace("freedom", "liberty")), (None, "MIT License\n\n" + held),
+    ]
+    rows = licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string"), licences.known_digests(spark)).collect()
+    assert [r["licence"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [name for name, _ in cases]
+    one = licences.known_digests(spark).groupBy("digest").count()
+    assert one.where("count > 1").count() == 0
+
+
 # web pages
 
 PAGE = """<html><head><title>t</title></head><body class="has-sidebar"><header class=site>Name</header><nav><ul><li><a href=/>Home</a><li>Menu</ul></nav>

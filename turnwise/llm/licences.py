@@ -2,9 +2,12 @@
 
 A text is brought to a canonical form, in which copies of a licence that differ in case, punctuation,
 line breaks, copyright lines and spelling are equal, and its digest is looked up among those of known
-licences. The units are the whole text, for licence files, and each of its lines, for notices.
+licences. Short licences are known with their usual titles, "All rights reserved" lines and bullets; long ones are the
+files of ``licence_texts``, with and without their appendix. The units are the whole text, for licence files, and each of its lines, for notices.
 """
-from collections.abc import Sequence
+import pkgutil
+import re
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,65 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 ]
+_ZLIB = ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+         "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+         "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+         "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+         "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may "
+         "not be removed or altered from any source distribution.")
+# What stands over the text of a short licence.
+TITLES = {
+    "MIT": ["MIT", "MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT/Expat License", "Expat License"],
+    "BSD-2-Clause": ["BSD License", "The BSD License", "BSD 2-Clause", "BSD 2-Clause License", "The BSD 2-Clause License", "2-Clause BSD License",
+                     "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "The Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD License", "The BSD License", "BSD 3-Clause", "BSD 3-Clause License", "The BSD 3-Clause License", "3-Clause BSD License",
+                     "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "The New BSD License", "Modified BSD License",
+                     "Revised BSD License"],
+    "ISC": ["ISC", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["0BSD", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License", "The BSD Zero Clause License", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib", "zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+}
+RESERVED = "All rights reserved."
+LONG = ("Apache-2.0", "CC0-1.0", "EPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense")  # files of licence_texts
+APPENDIX = "END OF TERMS AND CONDITIONS"  # what follows is left out of some copies
+FRANKLIN, TEMPLE = re.compile(r"51\s+Franklin\s+Street,\s+Fifth\s+Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA"), "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"
+
+
+def long_text(name: str) -> str:
+    """The text of a licence as its author publishes it."""
+    return pkgutil.get_data(__name__, f"licence_texts/{name}.txt").decode("utf-8")
+
+
+def _short_forms(name: str, text: str) -> Iterator[str]:
+    """A short licence, with numbered clauses and with other bullets, under each title and with RESERVED beside it."""
+    for body in {text, re.sub(r"(?<=[:.;] )[1-3]\. ", "* ", text)}:
+        for title in ["", *TITLES[name]]:
+            yield from (f"{title}\n{body}", f"{title}\n{RESERVED}\n{body}", f"{RESERVED}\n{title}\n{body}")
+
+
+def _long_forms(text: str) -> Iterator[str]:
+    """A long licence with its author's old address, with a filled-in copyright line, and without its appendix."""
+    for one in (text, FRANKLIN.sub(TEMPLE, text)):
+        terms, end, rest = one.partition(APPENDIX)
+        yield from (one, re.sub(r"Copyright \[yyyy\][^\n]*", "", one), terms + end if rest else one, terms)
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """KNOWN and the usual forms of whole licence files, each once."""
+    heads: dict[str, str] = {}
+    for name, text in KNOWN:
+        if name in TITLES:
+            heads.setdefault(name, text)  # the whole text comes before the notices
+    heads |= {"Zlib": _ZLIB, "Unlicense": long_text("Unlicense")}
+    no_link = heads["Unlicense"].partition("For more information")[0]
+    forms = [(name, form) for name, text in heads.items() for form in _short_forms(name, text)]
+    forms += [("Unlicense", form) for form in _short_forms("Unlicense", no_link)]
+    forms += [(name, form) for name in LONG for form in _long_forms(long_text(name))]
+    return list(dict.fromkeys(KNOWN + forms))
+
+
+KNOWN = known_texts()
 
 
 def canonical(text: Column) -> Column:
