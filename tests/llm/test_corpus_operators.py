@@ -254,6 +254,21 @@ def test_windows_keep_shares(spark, encode):
             assert abs(window[s] / sum(window.values()) - total[s] / everything) < 0.05
 
 
+def test_rare_source_has_no_empty_pieces(spark):
+    """Ten tokens beside 40,000 in windows of 64: 626 windows, of which ten hold a token of the rare source."""
+    rows = [(0, 0, "rare", 7), (1, 1, "rare", 3), *[(i, i, "large", 400) for i in range(2, 102)]]
+    pieces = packing.placed(spark.createDataFrame(rows, "row long, doc_id long, key string, n long"), 32, 64).collect()
+    assert min(r["length"] for r in pieces) == 1 and sum(r["length"] for r in pieces) == 40_010
+    at = sorted(r["sequence_id"] * 32 + r["offset"] for r in pieces if r["row"] < 2)
+    assert len(at) == 10 and all(r["length"] == 1 for r in pieces if r["row"] < 2)
+    assert max(b - a for a, b in zip(at, at[1:], strict=False)) < 4_200  # spread over the whole row
+    filled = sorted((r["sequence_id"], r["offset"], r["length"]) for r in pieces)
+    assert all((s * 32 + o + n) == (t * 32 + p) for (s, o, n), (t, p, _) in zip(filled, filled[1:], strict=False))
+    for row in (0, 1):
+        starts = sorted(r["start"] for r in pieces if r["row"] == row)
+        assert starts == list(range(len(starts)))
+
+
 def test_words_cache_gives_the_tokenizers_ids(encode):
     rng = random.Random(9)
     pieces = [" ", "  ", "\n", "\t", "word", "Über", "don't", "123", "|", "<|endoftext|>", " ", " ", "é", "\x1c", "\x85", "x", ".", "語", "​"]

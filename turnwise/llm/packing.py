@@ -106,10 +106,13 @@ def placed(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataF
     # window w of a source begins at its token ceil(w * quantum), its quantum being its tokens * window / all tokens
     every, share = f"cast({tokens or 1} as decimal(18,0))", f"(cast(_all as decimal(18,0)) * {window})"
     starts = lambda w: F.expr(f"(cast({w} as decimal(18,0)) * {share} + {every} - 1) div {every}")
+    # a window only holds tokens of the source for certain if its quantum is one or more; below, every token has a window of its own
+    each = F.transform(F.sequence("_at", F.col("_at") + F.col("n") - 1), lambda t: F.call_function("div", t.cast("decimal(18,0)") * F.lit(tokens or 1).cast("decimal(18,0)"), F.expr(share)))
+    windows = F.when(F.expr(f"{share} < {every}"), each).otherwise(F.sequence("_first", "_last"))
     cut = (lookup(queued, totals, ["key"], ["row"], "inner")
            .withColumn("_first", F.expr(f"(cast(_at as decimal(18,0)) * {every}) div {share}"))
            .withColumn("_last", F.expr(f"(cast(_at + n - 1 as decimal(18,0)) * {every}) div {share}"))
-           .withColumn("_w", F.explode(F.sequence("_first", "_last")))
+           .withColumn("_w", F.explode(windows))
            .withColumn("_from", starts("_w")).withColumn("_to", starts("_w + 1"))
            .withColumn("_s", F.greatest("_at", "_from"))
            .withColumn("_n", F.least(F.col("_at") + F.col("n"), F.col("_to")) - F.col("_s"))
