@@ -267,6 +267,15 @@ def test_tone_is_one_segment_and_one_band():
     assert audio.segments(np.zeros(10)) == []
 
 
+@pytest.mark.parametrize("size", range(512, 1088, 64))
+def test_features_hear_the_end(size):
+    payload = np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8)
+    other = payload.copy()
+    other[-24:] = 255 - other[-24:]
+    one, two = (audio.patch_tensors(audio.features(audio.to_wave(x.tobytes()))[0]) for x in (payload, other))
+    assert one.column(2).type == audio.tensor_type() and audio.tensor_digest(one) != audio.tensor_digest(two)
+
+
 def test_media_rows(docs, nothing, run, plain):
     rows = {r["doc_id"]: r for r in audio.media_digests(docs).collect()}
     assert rows[2]["n_bytes"] == 0 and rows[2]["payload_bytes"] == 64 and rows[2][2:] == rows[3][2:] and rows[5][1:] == rows[6][1:]

@@ -96,9 +96,11 @@ def mel_filters(rate: int, frame: int = FRAME, mels: int = MELS) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log-mel energies by frame, energy of each frame) of overlapped Hann frames; a short signal is one padded frame."""
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    """(log-mel energies by frame, energy of each frame) of overlapped Hann frames.
+
+    The signal is padded with silence to a whole number of hops and one more, so its end lies in the middle of the last frame.
+    """
+    x = np.pad(x, (0, max(FRAME - len(x), -len(x) % HOP + HOP)))
     frames = 1 + (len(x) - FRAME) // HOP
     window, filters = np.hanning(FRAME + 1)[:-1].astype(np.float32), mel_filters(rate).astype(np.float32)
     mels, energy = np.empty((frames, MELS), dtype=np.float32), np.empty(frames)
@@ -171,6 +173,13 @@ def with_media(documents: DataFrame) -> DataFrame:
     return documents.sparkSession.read.parquet(path)
 
 
+def tensor_digest(made: pa.RecordBatch) -> str:
+    """SHA-256 over the spans and tensors of a batch of patch_tensors."""
+    tensors = made.column(2).to_numpy_ndarray().astype("<i2")
+    return hashlib.sha256(b"".join(struct.pack("<dd", a, b) + t.tobytes() for a, b, t in zip(
+        made.column(0).to_pylist(), made.column(1).to_pylist(), tensors, strict=True))).hexdigest()
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Adds start, end and patch (flat, PATCH x MELS) of every patch of (doc_id, media), in order."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +206,7 @@ def media_digests(documents: DataFrame) -> DataFrame:
             for wave in part.column(2).to_pylist():
                 payload = from_wave(wave)[1].tobytes()
                 patches, spans = features(wave)
-                digest = hashlib.sha256(b"".join(struct.pack("<dd", a, b) + p.astype("<i2").tobytes() for a, b, p in patches)).hexdigest()
+                digest = tensor_digest(patch_tensors(patches))
                 spoken = sum(b - a for a, b in spans)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wave),
                              hashlib.sha256(wave).hexdigest(), f"{len(patches)}x{PATCH}x{MELS}:{len(spans)}:{spoken:.3f}:{digest}"))
