@@ -12,6 +12,7 @@ from turnwise.llm.common import boxed, table, unboxed
 
 #: Models that are fitted and joins that are iterated have no SQL.
 ORACLE_SQL = None
+WIDTH, ALIKE, OF = 5, 80, 100  # near copies: words of a shingle, and linked from ALIKE / OF on
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, WIDTH, ALIKE, OF)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from turnwise.llm import fingerprints, jaccard_join, mixing, packing
 
 
@@ -114,6 +115,29 @@ def test_join_finds_every_link(spark):
     assert got == plain_join(rows)
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    """Edits of one word each that keep 0.8 of the shingles of five words, but less than 0.85 of those of four."""
+    words = [f"w{i}" for i in range(454)]
+    other = [f"x{i}" if i % 45 == 20 else w for i, w in enumerate(words)]  # 10 words
+    far = [f"y{i}" if i % 20 == 10 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far))], "doc_id long, text string")
+    a, b, c = (set(shingles(" ".join(x), 5)) for x in (words, other, far))
+    assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c)
+    assert {r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()} == {1, 2, 3}
+    assert {r["doc_id"] for r in jaccard_join.one_of_each(docs, 5, 80, 100).collect()} == {1, 3}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("size", [6, 11, 12, 40, 333, 2000])
+def test_linked_sets_share_a_key_at_four_fifths(size):
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        a = np.unique(rng.integers(1, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a, rng.integers(1, 1 << 63, int(rng.integers(0, len(a) // 4 + 1)), dtype=np.uint64)]))
+        if len(b) > len(a):
+            assert set(jaccard_join.segment_keys(a, 80, 100).tolist()) & set(jaccard_join.segment_keys(b, 80, 100).tolist())
+
+
 @pytest.mark.parametrize("size", [6, 11, 12, 40, 333, 2000])
 def test_linked_sets_share_a_key(size):
     rng = np.random.default_rng(size)

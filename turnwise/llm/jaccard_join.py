@@ -10,7 +10,7 @@ a sketch whose Hamming distance is at most the difference and rejects most of th
 Within a key's bucket all sets are compared to one leader, the set with the most matches, never all with
 all. Only buckets that are still in several components afterwards compare their sets in blocks.
 """
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,29 +65,30 @@ def bands(alike: int = ALIKE, of: int = OF, ratio: float = RATIO) -> Iterator[tu
         low = high
 
 
-_known: list[tuple[int, int, int, int]] = []
-_more = bands()
+_known: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+_more: dict[tuple[int, int], Iterator[tuple[int, int, int, int]]] = {}
 
 
-def _bands_of(n: int) -> list[tuple[int, int, int]]:
+def _bands_of(n: int, alike: int = ALIKE, of: int = OF) -> list[tuple[int, int, int]]:
     """(band, segments, differences allowed) of the bands in which a set of n shingles may have an unequal partner."""
-    while not _known or _known[-1][0] <= n:
-        _known.append(next(_more))
+    known, more = _known.setdefault((alike, of), []), _more.setdefault((alike, of), bands(alike, of))
+    while not known or known[-1][0] <= n:
+        known.append(next(more))
     out = []
-    for i, (low, _, last, allowed) in enumerate(_known):
+    for i, (low, _, last, allowed) in enumerate(known):
         if low <= n <= last and allowed > 0:
             out.append((i, allowed + 3 + allowed // 24, allowed))
     return out
 
 
-def segment_keys(shingles: np.ndarray) -> np.ndarray:
+def segment_keys(shingles: np.ndarray, alike: int = ALIKE, of: int = OF) -> np.ndarray:
     """Keys of which two linked, unequal sets share at least one.
 
     In a band of S segments and D allowed differences at least S - D segments agree. A set with fewer
     empty segments than that shares a filled one; a set with more is dealt again with the next seed.
     """
     keys = []
-    for band, segments, allowed in _bands_of(len(shingles)):
+    for band, segments, allowed in _bands_of(len(shingles), alike, of):
         for seed in range(SEEDS):
             dealt = _mixed(shingles + _ODD[:1] * np.uint64(seed + 1))
             place = (dealt % np.uint64(segments)).astype(np.int64)
@@ -116,27 +117,31 @@ def _set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, sizes, sets, sketches, keys = [], [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            found = shingle_set(text)
-            ids.append(doc_id)
-            sizes.append(len(found))
-            sets.append(_set_id(found) if len(found) else None)
-            sketches.append(bit_sketch(found))
-            keys.append(segment_keys(found).view(np.int64))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
-            pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set", "sketch", "keys"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shingle_set(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([_set_id(f) for f in found], pa.int64()),
-            pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["set", "shingles"])
+def _sketched(width: int, alike: int, of: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            ids, sizes, sets, sketches, keys = [], [], [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                found = shingle_set(text, width)
+                ids.append(doc_id)
+                sizes.append(len(found))
+                sets.append(_set_id(found) if len(found) else None)
+                sketches.append(bit_sketch(found))
+                keys.append(segment_keys(found, alike, of).view(np.int64))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
+                pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set", "sketch", "keys"])
+    return batches
+
+
+def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            found = [shingle_set(t, width) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([_set_id(f) for f in found], pa.int64()),
+                pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["set", "shingles"])
+    return batches
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -159,24 +164,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _alike(inter, left, right):
-    return OF * inter >= ALIKE * (left + right - inter)
+def _alike(inter, left, right, alike, of):
+    return of * inter >= alike * (left + right - inter)
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, alike: int, of: int) -> DataFrame:
     """The pairs (a, b) of sets that are linked; the sketch's bound comes before the sets are fetched."""
     one = sizes.select(F.col("set").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     two = sizes.select(F.col("set").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = (pairs.join(one, "a").join(two, "b").where(
-        (OF + ALIKE) * apart <= (OF - ALIKE) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
+        (of + alike) * apart <= (of - alike) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
     inter = F.size(F.array_intersect("_x", "_y"))
     return (near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("_x")), "a")
             .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("_y")), "b")
-            .where(_alike(inter, F.col("n_a"), F.col("n_b"))).select("a", "b"))
+            .where(_alike(inter, F.col("n_a"), F.col("n_b"), alike, of)).select("a", "b"))
 
 
-def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_pairs(pdf: pd.DataFrame, alike: int = ALIKE, of: int = OF) -> pd.DataFrame:
     """Pairs between the two sides of a block that are in different components and that sizes and sketches allow to be linked."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     bits = np.stack([np.asarray(s, dtype=np.int64) for s in left["sketch"]]).view(np.uint64)
@@ -184,12 +189,12 @@ def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for mine, n, label, other in zip(right["sketch"], right["n_shingles"], right["label"], right["set"], strict=True):
         apart = np.bitwise_count(bits ^ np.asarray(mine, dtype=np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        good = ((OF + ALIKE) * apart <= (OF - ALIKE) * (size + n)) & (OF * np.minimum(size, n) >= ALIKE * np.maximum(size, n)) & (comp != label)
+        good = ((of + alike) * apart <= (of - alike) * (size + n)) & (of * np.minimum(size, n) >= alike * np.maximum(size, n)) & (comp != label)
         out += [(int(a), int(other)) for a in name[good]]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _rest(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+def _rest(buckets: DataFrame, classes: DataFrame, alike: int, of: int) -> DataFrame:
     """Candidates (a, b) that leaders have not met: in each leader's circle, the sketches outside its largest
     component are compared in blocks with all others of the circle. buckets: leader, set, label."""
     circle = buckets.select("leader", "set", "label").distinct()
@@ -204,20 +209,22 @@ def _rest(buckets: DataFrame, classes: DataFrame) -> DataFrame:
              .union(marked.select("leader", "set", "label", F.lit(1).alias("side"),
                                   F.explode(F.sequence(F.lit(0), blocks_few - 1)).alias("f"), at(blocks_all).alias("c")).select("leader", "set", "label", "side", "f", "c")))
     rows = sides.join(classes.select("set", "n_shingles", "sketch"), "set")
-    pairs = rows.groupBy("leader", "f", "c").applyInPandas(_block_pairs, "a bigint, b bigint")
+    pairs = rows.groupBy("leader", "f", "c").applyInPandas(lambda pdf: _block_pairs(pdf, alike, of), "a bigint, b bigint")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def join_alike(documents: DataFrame) -> DataFrame:
+def join_alike(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, of: int = OF) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``documents`` (doc_id, text).
 
+    Sets of shingles of ``width`` words are linked from a Jaccard similarity of ``alike`` / ``of``.
+
     component_id is the smallest doc_id reachable over links. A document without a word has no shingles and is linked with
     nothing, so it is its own component, as is a null text. Equal sets are one class, so copies and repeated
     rows are never paired. A row without doc_id takes part in links; it has the component of the
     others and null if there are none. An empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text"))
-    sketched = stored(docs.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, set bigint, sketch array<bigint>, keys array<bigint>"))
+    sketched = stored(docs.mapInArrow(_sketched(width, alike, of), "doc_id bigint, n_shingles bigint, set bigint, sketch array<bigint>, keys array<bigint>"))
 
     keyed = sketched.where(F.col("set").isNotNull()).select("set", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
@@ -234,11 +241,11 @@ def join_alike(documents: DataFrame) -> DataFrame:
     classes = (sketched.join(wanted, "set").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     classes = stored(classes)
-    sets = stored(docs.join(classes.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(_sets, "set bigint, shingles array<bigint>")
+    sets = stored(docs.join(classes.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(_sets(width), "set bigint, shingles array<bigint>")
                   .join(wanted, "set"))
 
     best = circles.groupBy("set").agg(F.max(F.struct("lead", "leader")).alias("m")).select(F.col("set").alias("a"), F.col("m.leader").alias("b")).where("a <> b")
-    links = durable(_verified(best, classes, sets).distinct())
+    links = durable(_verified(best, classes, sets, alike, of).distinct())
     labels = components(links)
 
     def open_circles(labels: DataFrame) -> DataFrame:
@@ -251,12 +258,12 @@ def join_alike(documents: DataFrame) -> DataFrame:
     if not still.isEmpty():
         lead_label = still.where("leader = set").select("leader", F.col("label").alias("_lead"))
         second = still.join(lead_label, "leader").where("label <> _lead").select(F.col("set").alias("a"), F.col("leader").alias("b"))
-        more = durable(_verified(second.join(best, ["a", "b"], "left_anti").distinct(), classes, sets).distinct())
+        more = durable(_verified(second.join(best, ["a", "b"], "left_anti").distinct(), classes, sets, alike, of).distinct())
         if not more.isEmpty():
             links = durable(links.union(more))
             labels = components(links)
             still = durable(open_circles(labels).select("leader", "set", "label").distinct())
-        last = durable(_verified(_rest(still, classes), classes, sets).distinct())
+        last = durable(_verified(_rest(still, classes, alike, of), classes, sets, alike, of).distinct())
         if not last.isEmpty():
             labels = components(links.union(last))
 
@@ -266,12 +273,12 @@ def join_alike(documents: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, of: int = OF) -> DataFrame:
     """``documents`` without all but the smallest doc_id of each component; a row that is repeated stays once.
 
     Documents without a word stay, and so do rows without doc_id.
     """
-    kept = join_alike(documents).where("doc_id = component_id").select("doc_id").distinct()
+    kept = join_alike(documents, width, alike, of).where("doc_id = component_id").select("doc_id").distinct()
     named = boxed(documents.where(F.col("doc_id").isNotNull()), "doc_id").join(kept, "doc_id", "left_semi")
     first = named.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_row"))).where("_nth = 1")
     return unboxed(first, documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
