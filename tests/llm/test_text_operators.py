@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,6 +108,17 @@ def test_markov_tells_random_from_words(spark, model):
     assert [[(s["kind"], s["start"], s["end"]) for s in r["_found"]] for r in rows] == [[("markov", 4, 25)], [], [], []]
 
 
+def test_ordinary_model_counts_every_document(spark):
+    texts = [f"word{i % 3000} und {'ab' * (i % 5 + 2)}" for i in range(6000)] + ["password=abcdefgh"]
+    pairs = {(r["a"], r["b"]): r["n"] for r in secret_scan._pairs(secret_scan.ordinary_strings(spark.createDataFrame([(t,) for t in texts], "text string"))).collect()}
+    want = Counter()
+    for t in texts[:-1]:
+        for w in re.findall("[A-Za-z0-9+/_-]{4,}", t):
+            places = [0, *(secret_scan.ALPHABET.index(c) + 1 for c in w)]
+            want.update(zip(places, places[1:], strict=False))
+    assert pairs == want
+
+
 def test_secret_rows(docs, nothing, run, plain):
     found = secret_scan.find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
     rows = {r["doc_id"]: r for r in found}

@@ -21,7 +21,6 @@ KINDS = {
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
-SAMPLE_DOCS = 2000  # documents, about, whose words are the ordinary sample
 RANDOM_STRINGS = 4000  # strings of the random sample
 THRESHOLD = 14.0  # nats; a million to one before a candidate counts
 
@@ -57,14 +56,17 @@ def _kept(kind: str, hits: Column) -> Column:
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
-    """Counts of neighbouring characters as places in ALPHABET; 0 is the start or any other character."""
+    """Counts of neighbouring characters as places in ALPHABET; 0 is the start or any other character.
+
+    Equal strings are counted first, in each task and then together, so characters are looked at once per different string.
+    """
     code = lambda c: F.instr(F.lit(ALPHABET), c)
     chars = F.split(F.col("s"), "")
-    codes = strings.select(F.concat(F.array(F.lit(0)), F.transform(
+    codes = strings.groupBy("s").agg(F.count("*").alias("n")).select("n", F.concat(F.array(F.lit(0)), F.transform(
         F.filter(chars, lambda c: c != ""), lambda c: code(c))).alias("k"))
-    steps = codes.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.struct(
+    steps = codes.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.struct(
         F.get("k", i - 1).alias("a"), F.get("k", i).alias("b")))).alias("p"))
-    return steps.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    return steps.groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
@@ -74,14 +76,12 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
                                  .otherwise(F.left(F.base64(F.unhex(digest)), F.lit(40))).alias("s"))
 
 
-def ordinary_strings(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Words of about ``sample_docs`` different documents, chosen by hash, in which no fixed pattern matches."""
+def ordinary_strings(documents: DataFrame) -> DataFrame:
+    """Words of all documents in which no fixed pattern matches."""
     docs = documents.select("text").where(F.col("text").isNotNull())
-    every = max(1, docs.count() // sample_docs)
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).dropDuplicates(["text"])  # copies would all be picked together
     for kind in ("assign", "access", "hex"):
-        picked = picked.where(~F.rlike("text", F.lit(KINDS[kind])))
-    return picked.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("s"))
+        docs = docs.where(~F.rlike("text", F.lit(KINDS[kind])))
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("s"))
 
 
 def log_ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
