@@ -10,6 +10,7 @@ from turnwise.functions import calls as c
 from turnwise.functions import text as tx
 from turnwise.operators import chains, policy, prose
 from turnwise.operators.changes import is_test_path
+from turnwise.streaming import live
 from turnwise.streaming.live import refused_by
 
 
@@ -242,3 +243,13 @@ def test_small_text(spark):
         tx.clip(F.lit("abcdef"), 3).alias("c"), tx.short_id(F.lit("01234567-89ab-cdef-0123-456789abcdef")).alias("u"),
         tx.utf16_length(F.lit("a😀")).alias("l")).first()
     assert tuple(one) == ("3h05m", "12m", "A b c d", "abc...", "01234567…", 3)
+
+
+def test_stream_verdicts_do_not_depend_on_file_order(spark, tmp_path):
+    rows = [("s", 1, "mode", "main", "self", "", 3), ("s", 2, "agent_mode", "main", "self", "", 3), ("s", 3, "call", "main", "self", "", 2),
+            ("s", 4, "mode", "main", "self", "", 1), ("s", 5, "call", "main", "self", "", 2), ("s", 6, "call", "main", "self", "", 1), (None, 7, "call", "main", "self", "", 9)]
+    for row in reversed(rows):  # the last event comes in the first file
+        spark.createDataFrame([row], "session string, seq long, kind string, agent string, scope string, parent string, rank int").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "actions"))
+    got = live.stream_mode_verdicts(live.table_stream(spark, str(tmp_path / "actions"), files_per_batch=1)).collect()
+    assert sorted((r["seq"], r["verdict"], r["by"]) for r in got) == [(3, "pass", None), (5, "deny", "user"), (6, "pass", None), (7, "deny", "user")]

@@ -43,7 +43,7 @@ def stream_mode_verdicts(spark, sf_dir):
         F.when(t == "signup", "mode").when(t == "purchase", "agent_mode").otherwise("call").alias("kind"),
         F.lit("main").alias("agent"), F.lit("self").alias("scope"), F.lit("").alias("parent"),
         F.when(t == "signup", k % 5).when(t == "purchase", (k * 3) % 5).otherwise(k % 4).cast("int").alias("rank"))
-    return live.drain(live.stream_mode_verdicts(actions), "verdicts", idle_batches=False).select("session", "seq", "verdict", "by")
+    return live.stream_mode_verdicts(actions).select("session", "seq", "verdict", "by")
 
 
 @query("""

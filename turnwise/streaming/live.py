@@ -1,11 +1,9 @@
 """Streaming twins: corrections, mode verdicts, gate and usage as the events arrive."""
-import json
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from turnwise import lexicons as lx
 from turnwise.functions.calls import OFF
@@ -17,14 +15,6 @@ from turnwise.operators.policy import shift_verdict, with_need
 from turnwise.operators.usage import burn_rate
 
 WEEK = "7 days"
-WEEK_MS = 7 * 86_400_000
-
-
-def _in_order(rows: Iterator[pd.DataFrame], after: int) -> tuple[pd.DataFrame, int]:
-    """Rows of one key and batch by seq, without those at or before ``after``, and how many those were."""
-    batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-    fresh = batch[batch["seq"] > after]
-    return fresh, len(batch) - len(fresh)
 
 
 def correction_marks(events: DataFrame, shipped: Mapping[str, str], correction: str = lx.CORRECTION) -> DataFrame:
@@ -52,17 +42,11 @@ def stream_corrections(marks: DataFrame, folder: str | None = None, ttl: str = W
     return follow(marks, corrections_so_far, "session", "corrections", folder, ttl)
 
 
-def judge_actions(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Calls of a session judged by the modes in force when they come. The state holds modes and parents."""
-    columns = ["session", "seq", "agent", "verdict", "by"]
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([], columns=columns)
-        return
-    held = json.loads(state.get[0]) if state.exists else {"user": OFF, "seq": -1, "self": {}, "subagents": {}, "parent": {}}
-    fresh, late = _in_order(rows, held["seq"])
-    out = [(key[0], -1, None, "late", str(late))] if late else []
-    for r in fresh.itertuples(index=False):
+def judge_actions(actions: pd.DataFrame) -> pd.DataFrame:
+    """All calls of one session, judged by the modes in force at their seq."""
+    held = {"user": OFF, "self": {}, "subagents": {}, "parent": {}}
+    out = []
+    for r in actions.sort_values("seq", kind="stable").itertuples(index=False):
         if r.kind == "mode":
             held["user"] = int(r.rank)
         elif r.kind == "agent_mode":
@@ -71,12 +55,8 @@ def judge_actions(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Itera
             held["parent"][r.agent] = r.parent
         else:
             by = refused_by(held, r.agent, int(r.rank))
-            out.append((key[0], int(r.seq), r.agent, "deny" if by else "pass", by))
-    if len(fresh):
-        held["seq"] = int(fresh["seq"].iloc[-1])
-    state.update((json.dumps(held),))
-    state.setTimeoutDuration(WEEK_MS)
-    yield pd.DataFrame(out, columns=columns)
+            out.append((r.session, int(r.seq), r.agent, "deny" if by else "pass", by))
+    return pd.DataFrame(out, columns=["session", "seq", "agent", "verdict", "by"])
 
 
 def refused_by(held: dict, agent: str, need: int) -> str | None:
@@ -93,15 +73,21 @@ def refused_by(held: dict, agent: str, need: int) -> str | None:
     return "above" if any(need > held["subagents"].get(a, OFF) for a in above) else None
 
 
-def stream_mode_verdicts(actions: DataFrame) -> DataFrame:
-    """Verdict per call of a stream of actions.
+def verdicts_so_far(actions: DataFrame) -> DataFrame:
+    """(session, seq, agent, verdict, by) of every call of the ``actions`` there are."""
+    return actions.groupBy("session").applyInPandas(judge_actions, "session string, seq bigint, agent string, verdict string, by string")
+
+
+def stream_mode_verdicts(actions: DataFrame, folder: str | None = None, ttl: str = WEEK) -> DataFrame:
+    """Verdict per call after all actions that are there now.
 
     ``actions``: session, seq, kind ('mode', 'agent_mode', 'spawn' or 'call'), agent, scope, parent
-    and rank: the mode that is set, or the mode a call needs.
+    and rank: the mode that is set, or the mode a call needs. The same for any cut of the actions into files
+    and any order of these; a touched session is judged anew as a whole, in one task. A session without actions for a week starts anew.
     """
-    return actions.groupBy("session").applyInPandasWithState(
-        judge_actions, "session string, seq bigint, agent string, verdict string, by string", "held string", "append",
-        "ProcessingTimeTimeout")
+    named = actions.withColumn("session", F.coalesce(F.concat(F.lit("="), "session"), F.lit("")))  # a null session is one, too
+    judged = follow(named, verdicts_so_far, "session", "verdicts", folder, ttl)
+    return judged.withColumn("session", F.when(F.col("session") != "", F.expr("substring(session, 2)")))
 
 
 def stream_needs(calls: DataFrame) -> DataFrame:
