@@ -4,7 +4,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import audio, fingerprints, html_text, jaccard_join, licences, mixing, packing, pii, secret_scan, toxicity
+from turnwise.llm import (alignment, audio, fingerprints, host_rules, html_text, jaccard_join, licences, merkle, mixing, packing, pii, secret_scan,
+                          toxicity)
 from turnwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,19 @@ def op1_fingerprints(spark, sf_dir):
 @query(licences.licence_sql())
 def op5_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licences.known_digests(spark))
+
+
+@query(host_rules.rule_sql())
+def op11_host_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "source AS host", "text")
+    return host_rules.judge(docs).drop("host", "n_lines")
+
+
+@query(merkle.SQL)
+def op12_merkle(spark, sf_dir):
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_alignment(spark, sf_dir):
+    return alignment.align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
