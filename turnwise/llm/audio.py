@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnwise.lineage import new_folder
 from turnwise.llm.common import whole
@@ -168,7 +169,7 @@ def with_media(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array(waves, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     path = new_folder(documents.sparkSession, "media")
-    made = documents.select("doc_id", whole().alias("text")).mapInArrow(batches, "doc_id bigint, n_bytes bigint, media binary")
+    made = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")).mapInArrow(batches, "doc_id bigint, n_bytes bigint, media binary")
     made.write.option("compression", "zstd").parquet(path)
     return documents.sparkSession.read.parquet(path)
 
@@ -190,7 +191,7 @@ def media_features(media: DataFrame) -> DataFrame:
                     pa.array([doc_id] * len(made), pa.int64()), made.column(0), made.column(1),
                     made.column(2).storage.cast(pa.list_(pa.int16()))], ["doc_id", "start", "end", "patch"])
 
-    return media.select("doc_id", "media").mapInArrow(batches, "doc_id bigint, start double, end double, patch array<smallint>")
+    return media.select(F.col("doc_id").cast("bigint").alias("doc_id"), "media").mapInArrow(batches, "doc_id bigint, start double, end double, patch array<smallint>")
 
 
 def media_digests(documents: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def encoded(documents: DataFrame, tokenizer: str) -> DataFrame:
                 n = pa.array([len(x) // words.kind.itemsize for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), n, pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
 
-    made = documents.select("doc_id", key_of().alias("key"), whole().alias("text")).mapInArrow(
+    made = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), key_of().alias("key"), whole().alias("text")).mapInArrow(
         batches, "doc_id bigint, key string, n bigint, ids binary")
     path = new_folder(documents.sparkSession, "ids")
     made.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)

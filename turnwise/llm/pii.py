@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnwise.llm.common import whole
 
@@ -56,6 +57,12 @@ def _digits(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
 
+def _small(part: str) -> bool:
+    """Whether a run of digits is at most 255, with any number of zeros before it."""
+    rest = part.lstrip("0")
+    return len(rest) <= 3 and int(rest or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Left of each @ the longest run of address characters after the last match, right of it a domain."""
     at, free = text.find("@"), 0
@@ -76,7 +83,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns."""
     out = [(a, b, "email") for a, b in _emails(text)]
-    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p) <= 400 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(_small(p) for p in m.group().split("."))]
     for m in CARD.finditer(text):
         digits = _digits(m.group())
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -96,6 +103,17 @@ def score(text: str, start: int, end: int, kind: str, confirmed: bool) -> float:
     return max(0.0, min(1.0, value))
 
 
+def _union(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The stretches that the spans cover together, apart from each other and in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((a, b) for a, b, _ in spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Spans that the fixed patterns do not have, none of them over a base span."""
     found = []
@@ -111,14 +129,14 @@ def added_spans(text: str, base: list[tuple[int, int, str]], threshold: float =
         digits = _digits(m.group())
         if 12 <= len(digits) <= 13 and luhn(digits):  # the short forms clash with other numbers: only context lets them pass
             found.append((m.start(), m.end(), "card", False))
-    taken = sorted((a, b) for a, b, _ in base)
+    taken = _union(base)
     out = []
     for start, end, kind, confirmed in found:
         if kind in ("iban", "national") and not confirmed:
             continue
-        at = bisect.bisect_left(taken, (end, end))
-        if all(b <= start for _, b in taken[max(0, at - len(KINDS)):at]) and score(text, start, end, kind, confirmed) >= threshold:
-            bisect.insort(taken, (start, end))
+        at = bisect.bisect_left(taken, (end,))  # those before it begin before the end; they are apart, so the last one ends last
+        if (not at or taken[at - 1][1] <= start) and score(text, start, end, kind, confirmed) >= threshold:
+            taken.insert(at, (start, end))
             out.append((start, end, kind))
     return out
 
@@ -128,7 +146,7 @@ def _listed(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_pii(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_<base kind>, n_added, base_sha256 and spans of each row of ``documents``.
+    """doc_id, n_<base kind>, n_added, n_spans (all of them), base_sha256 and spans of each row of ``documents``.
 
     A null text is empty and has no spans. Every row is read alone, from its whole text: ties, repeated
     rows, extra columns and empty tables change nothing. Places are in code points, ends exclusive.
@@ -140,10 +158,10 @@ def find_pii(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 base = base_spans(text)
                 more = added_spans(text, base, threshold)
                 kinds = [k for *_, k in base]
-                rows.append((*[kinds.count(k) for k in BASE], len(more), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + more)))
-            made = pd.DataFrame(rows, columns=[*[f"n_{k}" for k in BASE], "n_added", "base_sha256", "spans"])
+                rows.append((*[kinds.count(k) for k in BASE], len(more), len(base) + len(more), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + more)))
+            made = pd.DataFrame(rows, columns=[*[f"n_{k}" for k in BASE], "n_added", "n_spans", "base_sha256", "spans"])
             whole_batch = [part.column(0), *[pa.array(made[c], pa.int64() if c.startswith("n_") else pa.string()) for c in made.columns]]
             yield pa.RecordBatch.from_arrays(whole_batch, ["doc_id", *made.columns])
 
-    counts = ", ".join(f"n_{k} bigint" for k in (*BASE, "added"))
-    return documents.select("doc_id", whole().alias("text")).mapInArrow(batches, f"doc_id bigint, {counts}, base_sha256 string, spans string")
+    counts = ", ".join(f"n_{k} bigint" for k in (*BASE, "added", "spans"))
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")).mapInArrow(batches, f"doc_id bigint, {counts}, base_sha256 string, spans string")
