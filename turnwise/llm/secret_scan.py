@@ -5,6 +5,7 @@ from labelled samples, random strings and the words of documents; a candidate's
 is the sum of one table entry per pair of neighbours.
 """
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ KINDS = {
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
+HITS = "array<struct<start:bigint,end:bigint,hit:string>>"
+STRETCH = 128  # items of a row that are added up together
 RANDOM_STRINGS = 4000  # strings of the random sample
 THRESHOLD = 14.0  # nats; a million to one before a candidate counts
 
@@ -34,16 +37,55 @@ def _hits(text: Column, pattern: str) -> Column:
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
+    ends = _running(pairs, lambda at, p: at + F.char_length(p["gap"]) + F.char_length(p["hit"]))
+    walked = F.transform(F.arrays_zip(found.alias("hit"), ends.alias("end")), lambda h: F.struct(
+        (h["end"] - F.char_length(h["hit"])).alias("start"), h["end"].alias("end"), h["hit"].alias("hit")))
+    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(F.array().cast(HITS))
 
-    def step(state, pair):
-        start = state["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["hit"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), pair["hit"].alias("hit")))).alias("out"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(empty)
+def _running(items: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` makes of the number so far, 0 at first, and each item in turn, as an array.
+
+    An array that grows is copied at each step, so results are gathered in stretches of STRETCH items, and stretches in a second array.
+    """
+    none, kind = F.array().cast("array<bigint>"), "array<struct<at:bigint,out:array<bigint>>>"
+
+    def add(state, item):
+        at = step(state["at"], item).cast("bigint")
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out"))
+
+    def stretch(done, cut):
+        at = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0).cast("bigint"))
+        return F.concat(done, F.array(F.aggregate(cut, F.struct(at.alias("at"), none.alias("out")), add)))
+
+    def walked(held):
+        count = F.greatest(F.lit(0), F.floor((F.size(held) - 1) / STRETCH)).cast("int")
+        cuts = F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(held, i * STRETCH + 1, F.lit(STRETCH)))
+        return F.flatten(F.transform(F.aggregate(cuts, F.array().cast(kind), stretch), lambda s: s["out"]))
+
+    return _once(items, walked)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, although lambdas inside name it many times."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _free(hits: Column, taken: Column) -> Column:
+    """The ``hits`` that overlap none of the spans ``taken``; the hits of one kind are apart.
+
+    Of all in order, a hit is free if no span before it ends after its start and the next one, if it is a span, does not begin before its end.
+    """
+    both = F.array_sort(F.concat(
+        F.transform(taken, lambda t: F.struct(t["start"].alias("start"), F.lit(0).alias("rank"), t["end"].alias("end"), F.lit("").alias("hit"))),
+        F.transform(hits, lambda h: F.struct(h["start"].alias("start"), F.lit(1).alias("rank"), h["end"].alias("end"), h["hit"].alias("hit")))))
+    def seen(spans):
+        upto = _running(spans, lambda most, s: F.greatest(most, F.when(s["rank"] == 0, s["end"]).otherwise(0)))
+        return F.arrays_zip(spans.alias("s"), upto.alias("upto"), F.slice(spans, 2, F.greatest(F.size(spans), F.lit(1))).alias("next"))
+
+    free = F.filter(_once(both, seen), lambda x: (x["s"]["rank"] == 1) & (x["upto"] <= x["s"]["start"])
+                    & (x["next"].isNull() | (x["next"]["rank"] == 1) | (x["next"]["start"] >= x["s"]["end"])))
+    return F.transform(free, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["hit"].alias("hit")))
 
 
 def _kept(kind: str, hits: Column) -> Column:
@@ -131,9 +173,9 @@ def scan(documents: DataFrame, table: list[float], threshold: float = THRESHOLD)
         out = out.withColumn(f"_{kind}", _kept(kind, F.col(f"_{kind}")))
     fixed = F.concat("_assign", "_access", "_hex")
     random = F.filter("_markov", lambda h: F.rlike(h["hit"], F.lit("[0-9]")) & F.rlike(h["hit"], F.lit("[A-Za-z]"))
-                      & ~F.exists(fixed, lambda f: (f["start"] < h["end"]) & (h["start"] < f["end"]))
                       & (likelihood_ratio(h["hit"], table) >= threshold))
     out = out.withColumn("_markov", F.when(F.size("_markov") > 0, random).otherwise(F.col("_markov")))
+    out = out.withColumn("_markov", F.when((F.size("_markov") > 0) & (F.size(fixed) > 0), _free(F.col("_markov"), fixed)).otherwise(F.col("_markov")))
     named = [_named(kind) for kind in KINDS]
     return out.withColumn("_found", F.array_sort(F.concat(*named))).drop(*[f"_{kind}" for kind in KINDS])
 
