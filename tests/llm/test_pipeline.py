@@ -28,7 +28,7 @@ def test_stages_in_order(spark, steps):
     assert {r["doc_id"] for r in calm.collect()} == {r["doc_id"] for r in scored.where("predicted = 0").collect()}
 
     rows = [(r["doc_id"], r["text"]) for r in calm.collect()]
-    assert {r["doc_id"] for r in single.collect()} == {d for d, (_, c) in plain_join(rows).items() if d == c}
+    assert {r["doc_id"] for r in single.collect()} == {d for d, (_, c) in plain_join(rows, corpus_pipeline.WIDTH, corpus_pipeline.ALIKE).items() if d == c}
 
     before = {r["doc_id"]: r["text"] for r in single.collect()}
     after = {r["doc_id"]: r for r in masked.collect()}
