@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from turnwise.plans.log_queries import SPAN
 from turnwise.plans.registry import query
-from turnwise.streaming import live
+from turnwise.streaming import live, state
 
 
 def event_stream(spark, sf_dir):
@@ -25,7 +25,7 @@ def stream_corrections(spark, sf_dir):
         F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"),
         F.when(is_view, (F.col("k") % 10).cast("string")).alias("skill"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).cast("bigint").alias("hits"))
-    return live.stream_corrections(marks).select("session", "skill", "n")
+    return state.follow_corrections(marks, late=10_000).select("session", "skill", "n")
 
 
 @query("""
