@@ -117,30 +117,69 @@ def uncovered_mode(held: DataFrame, user_mode: str) -> DataFrame:
 
 
 # --- stacks -------------------------------------------------------------------------------------
-def blocker_levels(items: DataFrame) -> DataFrame:
+def blocker_levels(items: DataFrame, plain: int = 4) -> DataFrame:
     """Length of the longest chain of blockers below each item; null in or above a cycle.
 
-    ``items``: id, blocked_by. One round per level; each round drops the links it has settled.
+    ``items``: id, blocked_by. A round settles the items whose blockers all have a level. After ``plain`` rounds each one also
+    contracts chains: an item with one blocker left takes its level from the nearest one below that has none or several, found by
+    doubling, so a chain of n items takes log2(n) joins.
     """
-    links = items.select("id", F.explode("blocked_by").alias("by")).distinct()
-    links = durable(links.join(items.select(F.col("id").alias("by")), "by", "left_semi"))
-    placed = items.select("id").join(links.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(0))
-    done, fresh, level = [placed], placed, 0
+    ids = items.select("id").distinct()
+    links = items.select("id", F.explode("blocked_by").alias("by")).distinct().withColumn("w", F.lit(1))
+    links = durable(links.join(ids.withColumnRenamed("id", "by"), "by", "left_semi").select("id", "by", "w"))
+    floors = links.select("id").distinct().withColumn("floor", F.lit(0))
+    fresh = ids.join(floors, "id", "left_anti").withColumn("level", F.lit(0))
+    done, follows, number = [fresh], [], 0
     while not links.isEmpty():
-        level += 1
-        rest = durable(links.join(fresh.select(F.col("id").alias("by")), "by", "left_anti"))
-        touched = links.select("id").distinct().join(rest.select("id").distinct(), "id", "left_anti")
-        fresh = durable(touched.withColumn("level", F.lit(level)))
-        if fresh.isEmpty():
-            break  # only cycles are left
+        number += 1
+        met = links.join(fresh.withColumnRenamed("id", "by"), "by", "left")
+        raised = met.where("level is not null").groupBy("id").agg(F.max(F.col("level") + F.col("w")).alias("up"))
+        links = durable(met.where("level is null").select("id", "by", "w"))
+        floors = durable(floors.join(raised, "id", "left").select("id", F.greatest("floor", "up").alias("floor")))
+        fresh = durable(floors.join(links.select("id").distinct(), "id", "left_anti").select("id", F.col("floor").alias("level")))
+        stuck = fresh.isEmpty()
         done.append(fresh)
-        links = rest
+        floors = floors.join(fresh, "id", "left_anti")
+        if number >= plain or stuck:
+            links, floors, follow = contract(links, floors)
+            if stuck and follow.isEmpty():
+                break  # only cycles are left
+            follows.append(follow)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    for follow in reversed(follows):
+        low = out.select(F.col("id").alias("by"), "level")
+        out = durable(out.unionByName(follow.join(low, "by").select("id", F.greatest("floor", F.col("level") + F.col("w")).alias("level"))))
     return items.join(out, "id", "left")
 
 
+def contract(links: DataFrame, floors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links and floors without the items that have one link, and these as ``follow``: id, by, w, floor.
+
+    The level of such an item is the larger of ``floor`` and ``w`` above the level of ``by``, and ``by`` is none of them. Items of a
+    cycle of single links, and those above it, are in none of the three.
+    """
+    one = links.groupBy("id").agg(F.count("*").alias("n"), F.first("by").alias("by"), F.first("w").alias("w")).where("n = 1")
+    state = durable(one.join(floors, "id").select("id", "by", "w", "floor"))
+    single = state.select("id")
+    for _ in range(ceil(log2(max(state.count(), 2))) + 1):
+        low = state.select(F.col("id").alias("by"), F.col("by").alias("_by"), F.col("w").alias("_w"), F.col("floor").alias("_floor"))
+        met = state.join(low, "by", "left")
+        if met.where("_by is not null").isEmpty():
+            break
+        state = durable(met.select("id", F.coalesce("_by", "by").alias("by"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
+                                   F.greatest("floor", F.col("_floor") + F.col("w")).alias("floor")))
+    follow = durable(state.join(single.withColumnRenamed("id", "by"), "by", "left_anti").select("id", "by", "w", "floor"))
+    rest = links.join(single, "id", "left_anti").join(
+        follow.select(F.col("id").alias("by"), F.col("by").alias("_by"), F.col("w").alias("_w"), F.col("floor").alias("_floor")), "by", "left")
+    rest = durable(rest.select("id", F.coalesce("_by", "by").alias("by"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
+                               (F.col("_floor") + F.col("w")).alias("up")))
+    raised = rest.groupBy("id").agg(F.max("up").alias("up"))
+    kept = floors.join(single, "id", "left_anti").join(raised, "id", "left").select("id", F.greatest("floor", "up").alias("floor"))
+    return rest.groupBy("id", "by").agg(F.max("w").alias("w")), durable(kept), follow
+
+
 def stack_order(items: DataFrame, trunk: str = "main") -> DataFrame:
     """One bottom-to-top order per slice, every blocker below what it blocks.
 

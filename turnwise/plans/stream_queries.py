@@ -12,20 +12,32 @@ def event_stream(spark, sf_dir):
                      F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("""
+CORRECTIONS = """
 WITH e AS (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 s AS (SELECT *, LAST_VALUE(CASE WHEN event_type = 'view' THEN k % 10 END IGNORE NULLS)
       OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM e)
 SELECT CAST(user_id AS VARCHAR) AS session, CAST(active AS VARCHAR) AS skill, COUNT(*) AS n FROM s
-WHERE event_type = 'error' AND active IS NOT NULL GROUP BY 1, 2""")
-def stream_corrections(spark, sf_dir):
-    """Errors per user and open view, each pair announced once."""
+WHERE event_type = 'error' AND active IS NOT NULL GROUP BY 1, 2"""
+
+
+def correction_marks(spark, sf_dir):
     is_view = F.col("event_type") == "view"
-    marks = event_stream(spark, sf_dir).select(
+    return event_stream(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"),
         F.when(is_view, (F.col("k") % 10).cast("string")).alias("skill"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).cast("bigint").alias("hits"))
-    return state.follow_corrections(marks, late=10_000).select("session", "skill", "n")
+
+
+@query(CORRECTIONS)
+def stream_corrections(spark, sf_dir):
+    """Errors per user and open view, each pair announced once."""
+    return live.stream_corrections(correction_marks(spark, sf_dir)).select("session", "skill", "n")
+
+
+@query(CORRECTIONS)
+def session_corrections(spark, sf_dir):
+    """The same counts, kept in a state store per session."""
+    return state.follow_corrections(correction_marks(spark, sf_dir), late=10_000).select("session", "skill", "n")
 
 
 @query("""
