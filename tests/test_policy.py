@@ -12,7 +12,6 @@ from turnwise.functions import text as tx
 from turnwise.operators import chains, policy, prose
 from turnwise.operators.changes import is_test_path
 from turnwise.streaming import live
-from turnwise.streaming.live import refused_by
 
 
 def judge(spark, values, fn):
@@ -116,6 +115,46 @@ EDGES = [("a", "main"), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")]
 MODES = [("a", "subagents", "research"), ("main", "subagents", "build"), ("x", "subagents", "readonly"), ("b", "self", "prototype"), ("c", "self", "off")]
 
 
+def refused_by(held, agent, need):
+    """Whose mode refuses a call: the user's, the agent's own or that of an agent above it."""
+    if need > held["user"]:
+        return "user"
+    if need > held["self"].get(agent, 4):
+        return "own"
+    above, at = set(), held["parent"].get(agent)
+    while at is not None and at != agent and at not in above:
+        above.add(at)
+        at = held["parent"].get(at)
+    return "above" if any(need > held["subagents"].get(a, 4) for a in above) else None
+
+
+ACTIONS = "session string, seq long, kind string, agent string, scope string, parent string, rank int"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_verdicts_follow_each_event(spark, seed):
+    """Modes and parents that change in time, agents below each other, cycles and unknown agents, against one event after the other."""
+    rng = random.Random(seed)
+    names, rows, want = ["main", "a", "b", "c", "d", None], [], set()
+    for session in ("s", "t"):
+        held = {"user": 4, "self": {}, "subagents": {}, "parent": {}}
+        for seq in sorted(rng.sample(range(4 << 20), 150)):
+            kind, agent, scope = rng.choice(["mode", "agent_mode", "spawn", "call", "call", "call"]), rng.choice(names), rng.choice(["self", "subagents"])
+            parent, rank = rng.choice(names[:5]), rng.choice([1, 2, 3, 4, 4]) if kind != "call" else rng.randint(0, 4)
+            rows.append((session, seq, kind, agent, scope, parent, rank))
+            if kind == "mode":
+                held["user"] = rank
+            elif kind == "agent_mode":
+                held[scope][agent] = rank
+            elif kind == "spawn":
+                held["parent"][agent] = parent
+            else:
+                by = refused_by(held, agent, rank)
+                want.add((session, seq, agent, "deny" if by else "pass", by))
+    got = live.verdicts_so_far(spark.createDataFrame(rows, ACTIONS).repartition(3))
+    assert {tuple(r) for r in got.collect()} == want and {by for *_, by in want} >= {"user", "own"} | ({"above"} if seed < 2 else set())
+
+
 def test_inherited_modes_and_stream_agree(spark):
     edges, modes = spark.createDataFrame(EDGES, "child string, parent string"), spark.createDataFrame(MODES, "agent string, scope string, mode string")
     got = {r.agent: r["rank"] for r in chains.inherited_mode(edges, modes).collect()}

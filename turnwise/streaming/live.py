@@ -1,14 +1,13 @@
 """Streaming twins: corrections, mode verdicts, gate and usage as the events arrive."""
 from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
 from turnwise.functions.calls import OFF
 from turnwise.functions.text import present, utf16_length
-from turnwise.lineage import new_folder
+from turnwise.lineage import durable, new_folder
 from turnwise.operators.ordered import carry, int_segment
 from turnwise.operators.mining import command_started, is_rejected, skill_started
 from turnwise.operators.policy import shift_verdict, with_need
@@ -42,40 +41,51 @@ def stream_corrections(marks: DataFrame, folder: str | None = None, ttl: str = W
     return follow(marks, corrections_so_far, "session", "corrections", folder, ttl)
 
 
-def judge_actions(actions: pd.DataFrame) -> pd.DataFrame:
-    """All calls of one session, judged by the modes in force at their seq."""
-    held = {"user": OFF, "self": {}, "subagents": {}, "parent": {}}
-    out = []
-    for r in actions.sort_values("seq", kind="stable").itertuples(index=False):
-        if r.kind == "mode":
-            held["user"] = int(r.rank)
-        elif r.kind == "agent_mode":
-            held[r.scope][r.agent] = int(r.rank)
-        elif r.kind == "spawn":
-            held["parent"][r.agent] = r.parent
-        else:
-            by = refused_by(held, r.agent, int(r.rank))
-            out.append((r.session, int(r.seq), r.agent, "deny" if by else "pass", by))
-    return pd.DataFrame(out, columns=["session", "seq", "agent", "verdict", "by"])
-
-
-def refused_by(held: dict, agent: str, need: int) -> str | None:
-    """Whose mode refuses a call: the user's, the agent's own or that of an agent above it."""
-    if need > held["user"]:
-        return "user"
-    if need > held["self"].get(agent, OFF):
-        return "own"
-    above = set()
-    at = held["parent"].get(agent)
-    while at is not None and at != agent and at not in above:
-        above.add(at)
-        at = held["parent"].get(at)
-    return "above" if any(need > held["subagents"].get(a, OFF) for a in above) else None
-
-
 def verdicts_so_far(actions: DataFrame) -> DataFrame:
-    """(session, seq, agent, verdict, by) of every call of the ``actions`` there are."""
-    return actions.groupBy("session").applyInPandas(judge_actions, "session string, seq bigint, agent string, verdict string, by string")
+    """(session, seq, agent, verdict, by) of every call of the ``actions`` there are: 'user', 'own' or 'above' says whose mode refuses it.
+
+    The user's mode and the agent's own are carried along the session in segments, so a session of any length is spread over tasks.
+    Calls that pass both climb the agents above them, one level a round, with the links and modes in force at the call. ``seq`` is unique
+    within a session.
+    """
+    named = actions.withColumn("_key", F.coalesce(F.concat(F.lit("="), "agent"), F.lit("")))
+    rank = lambda kind, scope=None: F.when((F.col("kind") == kind) & (F.lit(True) if scope is None else F.col("scope") == scope), F.col("rank"))
+    user = carry(named, ["session"], ["seq"], int_segment("seq"), last={"_user": rank("mode")})
+    calls = carry(user, ["session", "_key"], ["seq"], int_segment("seq"), last={"_own": rank("agent_mode", "self")}).where("kind = 'call'")
+    by = F.when(F.col("rank") > F.coalesce("_user", F.lit(OFF)), "user").when(F.col("rank") > F.coalesce("_own", F.lit(OFF)), "own")
+    judged = durable(calls.select("session", "seq", "agent", "rank", "_key", by.alias("by")))
+    above = refused_above(judged.where("by is null").select("session", "seq", "rank", "_key"), named)
+    out = judged.join(above.withColumn("_above", F.lit("above")), ["session", "seq"], "left").withColumn("by", F.coalesce("by", "_above"))
+    return out.select("session", "seq", "agent", F.when(F.col("by").isNull(), "pass").otherwise("deny").alias("verdict"), "by")
+
+
+def refused_above(calls: DataFrame, actions: DataFrame) -> DataFrame:
+    """(session, seq) of the ``calls`` (session, seq, rank, _key) that the mode of an agent above theirs refuses.
+
+    A round looks up the mode and the parent of the agent each call has reached, as of the call. A call ends at an agent without a
+    parent, or at one it has met before.
+    """
+    key = F.coalesce(F.concat(F.lit("="), "parent"), F.lit(""))
+    facts = actions.where("kind = 'spawn' or (kind = 'agent_mode' and scope = 'subagents')").select(
+        "session", "seq", F.col("_key").alias("_at"), F.when(F.col("kind") == "spawn", key).alias("_up"),
+        F.when(F.col("kind") == "agent_mode", F.col("rank")).alias("_subs"))
+    facts = durable(facts)
+    spawned = facts.where("_up is not null").select("session", "_at").distinct()
+    going = calls.select("session", "seq", "rank", F.col("_key").alias("_at"), F.array("_key").alias("_seen"))
+    going = durable(going.join(spawned, ["session", "_at"], "left_semi"))
+    found = []
+    while not going.isEmpty():
+        marked = going.withColumn("_asked", F.lit(True)).unionByName(facts.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+        known = carry(marked, ["session", "_at"], ["seq"], int_segment("seq"), last={"_over": F.col("_up"), "_mode": F.col("_subs")}).where("_asked")
+        refused = (F.size("_seen") > 1) & (F.col("rank") > F.coalesce("_mode", F.lit(OFF)))
+        known = durable(known.select("session", "seq", "rank", F.col("_over").alias("_at"), "_seen", refused.alias("_refused")))
+        found.append(known.where("_refused").select("session", "seq"))
+        going = durable(known.where(~F.col("_refused") & F.col("_at").isNotNull() & ~F.array_contains("_seen", F.col("_at"))).select(
+            "session", "seq", "rank", "_at", F.concat("_seen", F.array("_at")).alias("_seen")))
+    out = calls.select("session", "seq").limit(0)
+    for part in found:
+        out = out.unionByName(part)
+    return out
 
 
 def stream_mode_verdicts(actions: DataFrame, folder: str | None = None, ttl: str = WEEK) -> DataFrame:
@@ -83,7 +93,7 @@ def stream_mode_verdicts(actions: DataFrame, folder: str | None = None, ttl: str
 
     ``actions``: session, seq, kind ('mode', 'agent_mode', 'spawn' or 'call'), agent, scope, parent
     and rank: the mode that is set, or the mode a call needs. The same for any cut of the actions into files
-    and any order of these; a touched session is judged anew as a whole, in one task. A session without actions for a week starts anew.
+    and any order of these; a touched session is judged anew as a whole. A session without actions for a week starts anew.
     """
     named = actions.withColumn("session", F.coalesce(F.concat(F.lit("="), "session"), F.lit("")))  # a null session is one, too
     judged = follow(named, verdicts_so_far, "session", "verdicts", folder, ttl)
