@@ -117,7 +117,7 @@ def uncovered_mode(held: DataFrame, user_mode: str) -> DataFrame:
 
 
 # --- stacks -------------------------------------------------------------------------------------
-def blocker_levels(items: DataFrame, plain: int = 4) -> DataFrame:
+def blocker_levels(items: DataFrame, plain: int = 24) -> DataFrame:
     """Length of the longest chain of blockers below each item; null in or above a cycle.
 
     ``items``: id, blocked_by. A round settles the items whose blockers all have a level. After ``plain`` rounds each one also
@@ -125,33 +125,54 @@ def blocker_levels(items: DataFrame, plain: int = 4) -> DataFrame:
     doubling, so a chain of n items takes log2(n) joins.
     """
     ids = items.select("id").distinct()
-    links = items.select("id", F.explode("blocked_by").alias("by")).distinct().withColumn("w", F.lit(1))
-    links = durable(links.join(ids.withColumnRenamed("id", "by"), "by", "left_semi").select("id", "by", "w"))
-    floors = links.select("id").distinct().withColumn("floor", F.lit(0))
-    fresh = ids.join(floors, "id", "left_anti").withColumn("level", F.lit(0))
-    done, follows, number = [fresh], [], 0
+    links = items.select("id", F.explode("blocked_by").alias("by")).distinct()
+    every = links = durable(links.join(ids.withColumnRenamed("id", "by"), "by", "left_semi").select("id", "by"))
+    fresh = ids.join(links.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(0))
+    done, level = [fresh], 0
+    while level < plain and not links.isEmpty():
+        level += 1
+        rest = durable(links.join(fresh.select(F.col("id").alias("by")), "by", "left_anti"))
+        touched = links.select("id").distinct().join(rest.select("id").distinct(), "id", "left_anti")
+        fresh, links = durable(touched.withColumn("level", F.lit(level))), rest
+        if fresh.isEmpty():
+            return items.join(_all(done), "id", "left")  # only cycles are left
+        done.append(fresh)
+    if links.isEmpty():
+        return items.join(_all(done), "id", "left")
+    return items.join(_deep_levels(every, links, fresh, done), "id", "left")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _deep_levels(every: DataFrame, links: DataFrame, fresh: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """id, level of the items ``done`` and of those with ``links`` left to them or to each other; ``fresh`` are the ones done last."""
+    low = durable(_all(done)).select(F.col("id").alias("by"), "level")
+    left = links.select("id").distinct()
+    known = every.join(left, "id", "left_semi").join(low, "by").groupBy("id").agg((F.max("level") + 1).alias("up"))
+    floors = durable(left.join(known, "id", "left").select("id", F.coalesce("up", F.lit(0)).alias("floor")))
+    links, done, follows = links.withColumn("w", F.lit(1)), [*done], []
     while not links.isEmpty():
-        number += 1
         met = links.join(fresh.withColumnRenamed("id", "by"), "by", "left")
         raised = met.where("level is not null").groupBy("id").agg(F.max(F.col("level") + F.col("w")).alias("up"))
         links = durable(met.where("level is null").select("id", "by", "w"))
         floors = durable(floors.join(raised, "id", "left").select("id", F.greatest("floor", "up").alias("floor")))
         fresh = durable(floors.join(links.select("id").distinct(), "id", "left_anti").select("id", F.col("floor").alias("level")))
-        stuck = fresh.isEmpty()
-        done.append(fresh)
         floors = floors.join(fresh, "id", "left_anti")
-        if number >= plain or stuck:
-            links, floors, follow = contract(links, floors)
-            if stuck and follow.isEmpty():
-                break  # only cycles are left
-            follows.append(follow)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        done.append(fresh)
+        links, floors, follow = contract(links, floors)
+        if fresh.isEmpty() and follow.isEmpty():
+            break  # only cycles are left
+        follows.append(follow)
+    out = _all(done)
     for follow in reversed(follows):
         low = out.select(F.col("id").alias("by"), "level")
         out = durable(out.unionByName(follow.join(low, "by").select("id", F.greatest("floor", F.col("level") + F.col("w")).alias("level"))))
-    return items.join(out, "id", "left")
+    return out
 
 
 def contract(links: DataFrame, floors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
