@@ -73,11 +73,21 @@ def evidence_tier(claims: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def evidence_resolves(claims: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
-    """Evidence pointers (claim, ref) that are neither a known commit (any 7 or more first digits) nor a file."""
-    full = commits.select("sha").distinct()
-    short = full.select(F.explode(F.transform(F.sequence(F.lit(7), F.greatest(F.length("sha"), F.lit(7))), lambda n: F.left("sha", n))).alias("ref"))
-    known = short.unionByName(files.select(F.col("path").alias("ref"))).distinct()
-    return claims.join(known, "ref", "left_anti").select("claim", "ref")
+    """Evidence pointers (claim, ref) that are neither a known commit (any 7 or more first digits) nor a file.
+
+    Digests and pointers are laid out in one order, a pointer after all digests that begin with it: if there are any, the last digest
+    before it is one of them. So a row of either moves once, however many digests begin alike. A null pointer resolves nowhere.
+    """
+    full = commits.select("sha").where("sha is not null").distinct()
+    exact = files.select(F.col("path").alias("ref")).unionByName(full.where(F.length("sha") < 7).select(F.col("sha").alias("ref"))).distinct()
+    left = claims.select("claim", "ref").join(exact, "ref", "left_anti").select("claim", "ref")
+    none = F.lit(None)
+    line = left.where("ref is not null").select(F.concat("ref", F.lit("~")).alias("key"), none.cast("string").alias("sha"), "claim", "ref").unionByName(
+        full.select(F.col("sha").alias("key"), "sha", none.cast(claims.schema["claim"].dataType).alias("claim"), none.cast("string").alias("ref")))
+    cut = range_segments(line.withColumn("_all", F.lit(0)), ["_all", "key"])
+    before = carry(cut, ["_all"], ["key"], F.col("_seg"), last={"_sha": F.col("sha")}).where("ref is not null")
+    known = (F.length("ref") >= 7) & F.coalesce(F.col("_sha").startswith(F.col("ref")), F.lit(False))
+    return before.where(~known).select("claim", "ref").unionByName(left.where("ref is null"))
 
 
 # --- bug-hunt rounds ----------------------------------------------------------------------------

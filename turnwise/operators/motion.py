@@ -5,13 +5,17 @@ from pyspark.sql import functions as F
 from turnwise import lexicons as lx
 from turnwise.functions.curves import control_points, curve_value, easing_family
 from turnwise.functions.text import unroll
-from turnwise.operators.ordered import carry
+from turnwise.lineage import durable
+from turnwise.operators.ordered import carry, lookup
 
 
 def motion_residual(samples: DataFrame, segment: Column) -> DataFrame:
     """Error, overshoot and direction per motion. ``samples``: motion, duration, easing, t (ms), p."""
-    planned = curve_value(control_points(F.col("easing")), F.col("t") / F.col("duration"))
-    rows = carry(samples, ["motion"], ["t"], segment, prior={"_was": F.col("p")}).withColumn("err", F.col("p") - planned)
+    timed = samples.withColumn("_x", F.col("t") / F.col("duration"))
+    points = timed.select("easing", "_x").distinct()  # frames repeat, so a curve is solved once per time share
+    solved = durable(points.select("easing", "_x", curve_value(control_points(F.col("easing")), F.col("_x")).alias("_planned")))
+    rows = carry(lookup(timed, solved, ["easing", "_x"], ["motion", "t"]), ["motion"], ["t"], segment, prior={"_was": F.col("p")})
+    rows = rows.withColumn("err", F.col("p") - F.col("_planned"))
     return rows.groupBy("motion").agg(
         F.count("*").alias("samples"), F.max(F.abs("err")).alias("max_err"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rms"),
         F.greatest(F.max("p") - 1, F.lit(0.0)).alias("overshoot"),
