@@ -241,8 +241,9 @@ def join_alike(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, o
     classes = (sketched.join(wanted, "set").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     classes = stored(classes)
-    sets = stored(docs.join(classes.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(_sets(width), "set bigint, shingles array<bigint>")
-                  .join(wanted, "set"))
+    named = docs.join(classes.select("doc_id"), "doc_id", "left_semi")
+    texts = named.unionByName(docs.where(F.col("doc_id").isNull()))  # a set may only be in rows without doc_id
+    sets = stored(texts.select("text").mapInArrow(_sets(width), "set bigint, shingles array<bigint>").join(wanted, "set").dropDuplicates(["set"]))
 
     best = circles.groupBy("set").agg(F.max(F.struct("lead", "leader")).alias("m")).select(F.col("set").alias("a"), F.col("m.leader").alias("b")).where("a <> b")
     links = durable(_verified(best, classes, sets, alike, of).distinct())
