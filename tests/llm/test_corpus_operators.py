@@ -73,12 +73,12 @@ def test_fingerprint_rows(spark, docs, nothing):
 
 # Jaccard join
 
-def plain_join(rows):
+def plain_join(rows, width=4, alike=85):
     """Components by comparing every pair."""
     sets = []
     for d, text in rows:
         w = (text or "").encode().lower().split()
-        sets.append({tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     label = list(range(len(rows)))
 
     def find(i):
@@ -88,15 +88,41 @@ def plain_join(rows):
     for i in range(len(rows)):
         for j in range(i):
             inter = len(sets[i] & sets[j])
-            if sets[i] and 100 * inter >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and 100 * inter >= alike * len(sets[i] | sets[j]):
                 label[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
         if sets[i]:
-            least[find(i)] = min(d, least.get(find(i), d))
+            least[find(i)] = min((x for x in (d, least.get(find(i))) if x is not None), default=None)
     return {d: (len(sets[i]), least.get(find(i), d) if sets[i] else d) for i, (d, _) in enumerate(rows)}
 
 
+def bridge():
+    """Texts 5 and 9 that only a third one, of 100 words, links; it has 0.92 of either and they have 0.85 of each other."""
+    words = [f"w{i}" for i in range(100)]
+    return " ".join(["a"] * 4 + words[4:]), " ".join(words), " ".join(words[:96] + ["z"] * 4)
+
+
+def test_rows_without_doc_id_link_others(spark):
+    """A row without doc_id is a bridge like any other, and one that is linked has its component."""
+    left, middle, right = bridge()
+    for rows in ([(5, left), (None, middle), (9, right)], [(5, left), (None, middle), (None, middle), (9, right), (9, right)]):
+        got = jaccard_join.join_alike(spark.createDataFrame(rows, "doc_id int, text string"), 4, 90).collect()
+        assert {r["component_id"] for r in got} == {5} and len(got) == len(rows)
+    apart = jaccard_join.join_alike(spark.createDataFrame([(5, left), (9, right)], "doc_id int, text string"), 4, 90).collect()
+    assert {r["component_id"] for r in apart} == {5, 9}
+
+
+def test_seldom_dealt_again():
+    """Sets of any size have about as many keys as their bands may have differences."""
+    rng = np.random.default_rng(3)
+    for alike in (80, 85):
+        for n in (50, 150, 300, 500, 1000, 3000):
+            made = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(20)]
+            wanted = sum(d + 1 for _, _, d in jaccard_join._bands_of(n, alike))
+            assert np.mean([len(jaccard_join.segment_keys(x, alike)) for x in made]) <= 1.1 * wanted
+
+
 def test_join_finds_every_link(spark):
     """Groups of near copies around the threshold, of all sizes, against all pairs."""
     rng = random.Random(11)

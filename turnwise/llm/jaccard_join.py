@@ -11,6 +11,8 @@ Within a key's bucket all sets are compared to one leader, the set with the most
 all. Only buckets that are still in several components afterwards compare their sets in blocks.
 """
 from collections.abc import Callable, Iterator
+from functools import cache
+from math import exp, sqrt
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ RATIO = 1.5  # sizes of a band
 SEEDS = 8  # deals tried before a set with too many empty segments meets its like directly
 SKETCH = 1024  # bits
 BLOCK = 256  # sets of a block in the last comparison
+FEW = 4_000_000  # ids of 8 bytes each that are broadcast at most
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -65,30 +68,48 @@ def bands(alike: int = ALIKE, of: int = OF, ratio: float = RATIO) -> Iterator[tu
         low = high
 
 
+@cache
+def _segments(largest: int, allowed: int) -> int:
+    """Segments of a band: enough that a set of ``largest`` shingles seldom fills no more than ``allowed`` of them.
+
+    Of S segments S exp(-largest / S) are empty on average; three deviations more are left room for. Where no number of segments
+    leaves it, as in the lowest bands, sets are dealt anew more often.
+    """
+    for segments in range(allowed + 3, 2 * max(largest, allowed) + 4):
+        empty = segments * exp(-largest / segments)
+        if segments - empty - 3 * sqrt(empty) >= allowed + 1:
+            return segments
+    return allowed + 3 + allowed // 24
+
+
 _known: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
 _more: dict[tuple[int, int], Iterator[tuple[int, int, int, int]]] = {}
 
 
 def _bands_of(n: int, alike: int = ALIKE, of: int = OF) -> list[tuple[int, int, int]]:
-    """(band, segments, differences allowed) of the bands in which a set of n shingles may have an unequal partner."""
+    """(band, segments, differences from n's partners there) of the bands in which a set of n shingles may have an unequal partner."""
     known, more = _known.setdefault((alike, of), []), _more.setdefault((alike, of), bands(alike, of))
     while not known or known[-1][0] <= n:
         known.append(next(more))
     out = []
-    for i, (low, _, last, allowed) in enumerate(known):
-        if low <= n <= last and allowed > 0:
-            out.append((i, allowed + 3 + allowed // 24, allowed))
+    for i, (low, high, last, allowed) in enumerate(known):
+        # the band's smaller set is n itself, or one below its end
+        differ = (of - alike) * (n + (n * of // alike if n < high else high - 1)) // (of + alike)
+        if low <= n <= last and differ > 0:
+            out.append((i, _segments(high - 1, allowed), differ))
     return out
 
 
 def segment_keys(shingles: np.ndarray, alike: int = ALIKE, of: int = OF) -> np.ndarray:
     """Keys of which two linked, unequal sets share at least one.
 
-    In a band of S segments and D allowed differences at least S - D segments agree. A set with fewer
-    empty segments than that shares a filled one; a set with more is dealt again with the next seed.
+    Of S segments at least S - D agree if the sets differ in D shingles, and of these at least F - D are filled, F being the filled
+    ones of either. So many common keys lie among the first D + 1 of both in any order that both share, here that of
+    their hashes, and no others are kept. A set that fills fewer segments than that is dealt again with the next seed; the first deal
+    in which one of the two fills enough has a key of both.
     """
     keys = []
-    for band, segments, allowed in _bands_of(len(shingles), alike, of):
+    for band, segments, differ in _bands_of(len(shingles), alike, of):
         for seed in range(SEEDS):
             dealt = _mixed(shingles + _ODD[:1] * np.uint64(seed + 1))
             place = (dealt % np.uint64(segments)).astype(np.int64)
@@ -97,8 +118,9 @@ def segment_keys(shingles: np.ndarray, alike: int = ALIKE, of: int = OF) -> np.n
             starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             parity = np.bitwise_xor.reduceat(values, starts)
             tag = np.uint64((band * SEEDS + seed) << 32) + place[starts].astype(np.uint64)
-            keys.append(_mixed(parity + _mixed(tag + np.uint64(1)) * _ODD[1]))
-            if segments - len(starts) < segments - allowed:
+            made = _mixed(parity + _mixed(tag + np.uint64(1)) * _ODD[1])
+            keys.append(np.partition(made, differ)[:differ + 1] if len(made) > differ + 1 else made)
+            if len(starts) > differ:
                 break
         else:
             keys.append(_mixed(np.array([(band << 32) + 0xFFFFFFFF], dtype=np.uint64)))
@@ -168,13 +190,20 @@ def _alike(inter, left, right, alike, of):
     return of * inter >= alike * (left + right - inter)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """The ids, to be broadcast if their number shows that they take little memory; else joined as Spark sees fit."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, alike: int, of: int) -> DataFrame:
     """The pairs (a, b) of sets that are linked; the sketch's bound comes before the sets are fetched."""
     one = sizes.select(F.col("set").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     two = sizes.select(F.col("set").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (pairs.join(one, "a").join(two, "b").where(
+    near = stored(pairs.join(one, "a").join(two, "b").where(
         (of + alike) * apart <= (of - alike) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
+    needed = stored(near.select(F.col("a").alias("set")).union(near.select("b")).distinct())
+    sets = sets.join(_few(needed), "set", "left_semi")
     inter = F.size(F.array_intersect("_x", "_y"))
     return (near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("_x")), "a")
             .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("_y")), "b")
@@ -241,7 +270,7 @@ def join_alike(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, o
     classes = (sketched.join(wanted, "set").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     classes = stored(classes)
-    named = docs.join(classes.select("doc_id"), "doc_id", "left_semi")
+    named = docs.join(_few(classes.select("doc_id")), "doc_id", "left_semi")
     texts = named.unionByName(docs.where(F.col("doc_id").isNull()))  # a set may only be in rows without doc_id
     sets = stored(texts.select("text").mapInArrow(_sets(width), "set bigint, shingles array<bigint>").join(wanted, "set").dropDuplicates(["set"]))
 
