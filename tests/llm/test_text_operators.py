@@ -185,6 +185,15 @@ def test_toxicity_learns(spark):
     assert toxicity.score_text(None, train) == toxicity.score_text("", train) < 0.7
 
 
+def test_long_texts_are_read_from_start_to_end(spark):
+    texts = ["w1 w2 w3", " ".join(f"word{i}" for i in range(5000)), "x" * 9000]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(toxicity.fit_text(2000)).collect()]
+    assert got[0] == texts[0] and got[2].replace(" ", "") == "x" * 2000
+    read = [int(w[4:]) for w in got[1].split()]
+    assert len(got[1]) <= 2100 and read == sorted(set(read)) and read[0] < 10 and read[-1] > 4990 and set(read) <= set(range(5000))
+    assert max(b - a for a, b in zip(read, read[1:])) < 340  # 2,357 characters from piece to piece, 7 or more a word
+
+
 def test_toxicity_rows(spark, docs, nothing, run):
     labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0), (8, 1, 0), (9, 1, None), (None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_scores(docs, labels).select("doc_id", "score", "predicted").collect()
@@ -274,6 +283,21 @@ def test_articles_bound_and_extend_the_stretch():
     assert card.count("text") == 600 and "card" not in card
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    text = "Text one isn't lost here. " * 5
+    for attributes in ("title=don't", 'title=6"', "don't", 'a="x>y" b=it\'s', "a = 'x>\"y'", "a=x?b='c"):
+        assert html_text.main_text(f"<body><p {attributes}>{text}</p><p>And 'two' as \"well\".</p></body>") == text.strip() + "\nAnd 'two' as \"well\"."
+    assert html_text.main_text("<p title=it's>" * 20_000 + text).endswith(text.strip())
+
+
+def test_article_straight_in_the_body_is_kept_whole():
+    long = lambda w: f"<p>{w * 30}</p>"
+    links = "<ul>" + "<li><a href=/>link</a>" * 5 + "</ul>"
+    page = f"<body><h1>Head</h1>{long('one ')}{links}{long('two ')}<p><a href=/>A paragraph that is one link.</a></p>{long('three ')}{links}<h2>Part</h2>{long('four ')}</body>"
+    got = html_text.main_text(page).split("\n")
+    assert got == ["Head", ("one " * 30).strip(), ("two " * 30).strip(), "A paragraph that is one link.", ("three " * 30).strip(), "Part", ("four " * 30).strip()]
+
+
 def test_class_words_do_not_drop_most_of_the_page():
     long = "<p>" + "word " * 100 + "</p>"
     for wrap in ('<div class="social-post">{}</div>', '<article><h1>T</h1><section id="notice"><div class="comments">{}</div></section></article>', '<span class="ad">{}</span>'):

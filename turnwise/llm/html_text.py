@@ -4,7 +4,7 @@ Markup is stripped to lines, one per block of the page; text that markup itself
 forms and the like is left out. Text lengths are summed over sliding windows of lines. A surge is a
 window that rises over the threshold, a dive one that falls to nothing; the stretch between them
 with the most text is the core. The text is what the core's own container holds, so short first and last
-paragraphs are not cut; where the core lies straight in the body, it is the stretch itself. Article and main
+paragraphs are not cut; where the core lies straight in the body, it is all stretches of the page that lie outside other articles. Article and main
 elements bound and extend the core: those that hold most of it, and their siblings with text, are the text as a whole.
 """
 import html
@@ -38,8 +38,10 @@ CHROME = frozenset("""ad ads adv advert advertisement advertising adsense banner
 HEADERS = frozenset("header".split())  # only outside the article: within it they hold its title
 HARMLESS = frozenset("has with no without is js on off not show hide".split())  # "has-sidebar" speaks of the page, not of the element
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# A quote opens a value only right after its equals sign; elsewhere it is a character like others.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
+    |<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S | re.X)
+ATTRIBUTE = re.compile(r"""([^\s=>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -303,10 +305,12 @@ def main_text(page: str | None) -> str:
     inner = [n for n, size in enumerate(held) if size >= total and made.names[n] in BLOCK and made.names[n] not in ("html", "body")]
     if inner:
         return "\n".join(x.text for x, kept in zip(lines, made.lines_in({max(inner)}), strict=True) if kept)
-    while first > 0 and lines[first - 1].heading:
-        first -= 1
-    touched = made.lines_in({n for n in made.articles() if held[n] > 0})  # an article that the stretch reaches into is not cut
-    return "\n".join(x.text for i, x in enumerate(lines) if touched[i] or first <= i < past and (x.plain > 0 or len(x.text) < 2))
+    kept = made.lines_in({n for n in made.articles() if held[n] > 0})  # an article that the stretch reaches into is not cut
+    for first, past in found or [best]:
+        while first > 0 and lines[first - 1].heading:
+            first -= 1
+        kept[first:past] = [True] * (past - first)
+    return "\n".join(x.text for x, keep in zip(lines, kept, strict=True) if keep)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ CODE = 16  # bytes of a word's code
 WINDOW = 32  # words of a window
 DICTIONARY = 4096  # bytes
 PER_CLASS = 3000  # labelled documents of a class that are read to fit
-MAX_CHARS = 20_000  # longer documents are left out of the fit, never out of the scoring
+MAX_CHARS = 50_000  # of a longer document the fit reads PIECES pieces, spread evenly from its start to its end; scoring reads whole texts
+PIECES = 20
 LIKELIER = (2.0, 8.0)  # times as frequent as in the other class: ordinary, toxic words
 WORDS = re.compile(r"[^\W\d_]+")
 FOLDS = 4
@@ -158,18 +159,28 @@ def score_text(text: str | None, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, at))))
 
 
+def fit_text(max_chars: int, text: str = "text", pieces: int = PIECES) -> Column:
+    """What the fit reads of a text: all of it up to ``max_chars``, else that much in pieces of whole words, spread evenly."""
+    n, size = F.char_length(text), max(1, max_chars // pieces)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.floor(i * (n - size) / max(1, pieces - 1)).cast("int") + 1)
+    cut = F.transform(starts, lambda at: F.regexp_replace(F.substring(F.col(text), at, F.lit(size)), r"^\S*\s|\s\S*$", ""))
+    return F.when(n <= max_chars, F.col(text)).otherwise(F.array_join(cut, " "))
+
+
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """Learn from at most ``per_class`` labelled documents of either class that are not held out.
 
     The sample is chosen by hash from the narrow label table, so documents are neither shuffled nor
-    gathered; what reaches the driver is bounded by ``per_class`` and ``max_chars``.
+    gathered; what reaches the driver is bounded by ``per_class`` and ``max_chars`` (see ``fit_text``). Rows without a text or doc_id
+    and labels other than 0 and 1 teach nothing; of labels that disagree the higher counts; equal texts count once; without rows of
+    both classes every text gets one score, the share of toxic labels.
     """
     known = (labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .withColumn("_h", F.xxhash64("doc_id")))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("toxic") == c).orderBy("_h", "doc_id").limit(per_class) for c in (0, 1)]
-    rows = (documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-            .join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("toxic", "text", "_h", "doc_id").collect())
+    rows = (documents.select("doc_id", "text").where(F.col("text").isNotNull())
+            .join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("toxic", fit_text(max_chars).alias("text"), "_h", "doc_id").collect())
     texts = {c: list(dict.fromkeys(r["text"] for r in sorted(rows, key=lambda r: (r["_h"], r["doc_id"], r["text"])) if r["toxic"] == c)) for c in (0, 1)}
     return train(texts[1], texts[0], counts.get(1, 0) / max(1, sum(counts.values())))
 
@@ -188,4 +199,5 @@ def scores(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``documents`` scored by a model fitted to ``labels``; nulls, ties, repeated rows, empty tables and clashing names as in ``fit`` and ``scores``."""
     return scores(documents, fit(documents, labels), threshold)
