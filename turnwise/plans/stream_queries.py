@@ -1,8 +1,10 @@
 """Streaming queries: the events table is read as a stream and drained to a table."""
 from pyspark.sql import functions as F
 
+from turnwise.lineage import new_folder
 from turnwise.plans.log_queries import SPAN
-from turnwise.plans.registry import query
+from turnwise.plans.registry import query, table
+from turnwise.sources import growing
 from turnwise.streaming import live, state
 
 
@@ -91,3 +93,20 @@ def stream_burn_rate(spark, sf_dir):
         "ts", F.col("user_id").cast("string").alias("session"), F.col("k").cast("double").alias("used_pct"),
         (F.floor(F.unix_seconds("ts") / 18_000) * 18_000 + 18_000).alias("reset"))
     return live.drain(live.stream_burn_rate(samples), "burn").select("session", "window_start", "used", "state", "run_out")
+
+
+@query("""
+WITH l AS (SELECT event_id // 10000 AS part, event_id AS n, CAST(user_id AS VARCHAR) AS session, event_type AS kind,
+  strlen('{"session":"' || user_id || '","n":' || event_id || ',"kind":"' || event_type || '"}') + 1 AS size FROM events)
+SELECT part, CAST(SUM(size) OVER (PARTITION BY part ORDER BY n) - size AS BIGINT) AS seq, n, session, kind FROM l""")
+def stream_growing_sessions(spark, sf_dir):
+    """Events written as log files of 10,000 lines, read as growing logs: every line with the byte at which it starts."""
+    root = new_folder(spark, "logs")
+    line = F.concat(F.lit('{"session":"'), F.col("user_id").cast("string"), F.lit('","n":'), F.col("event_id").cast("string"), F.lit(',"kind":"'), "event_type", F.lit('"}'))
+    lines = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10_000).alias("part"), "event_id", line.alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(root)
+    rows = growing.stream_lines(spark, root, suffix=".txt", split=1 << 18).select(
+        F.regexp_extract("file_path", r"part%3D(\d+)/", 1).cast("bigint").alias("part"), "seq",
+        F.get_json_object("value", "$.n").cast("bigint").alias("n"), F.get_json_object("value", "$.session").alias("session"),
+        F.get_json_object("value", "$.kind").alias("kind"))
+    return live.drain(rows, "growing")

@@ -32,10 +32,10 @@ def read_sessions(spark: SparkSession, root: str, project: str = "", since: str
         raw = raw.where(F.col("file_modification_time") >= F.lit(since).cast("timestamp"))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ordered = raw.select("value", "file_path", (F.col("file_block_start") + place).alias("seq"))
-    return _parsed(ordered)
+    return parsed_lines(ordered)
 
 
-def _parsed(rows: DataFrame) -> DataFrame:
+def parsed_lines(rows: DataFrame) -> DataFrame:
     parsed = rows.withColumn("v", F.try_parse_json("value"))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     return parsed.select(
@@ -137,4 +137,4 @@ def stream_sessions(spark: SparkSession, root: str) -> DataFrame:
     text = F.regexp_replace("value", r"\r?\n\z", "")
     rows = unroll(raw, ["file_path"], F.split(text, r"\r\n|\n|\r"), "value")
     roll = F.coalesce(F.regexp_extract("file_path", r"\.(\d+)\.jsonl$", 1).try_cast("bigint"), F.lit(0))
-    return _parsed(rows.withColumn("seq", F.shiftleft(roll, 32) + F.col("_pos")))
+    return parsed_lines(rows.withColumn("seq", F.shiftleft(roll, 32) + F.col("_pos")))
