@@ -1,10 +1,12 @@
 """Evaluation, findings, records, run logs, motion and chunks on the given tables."""
 from pyspark.sql import functions as F
 
+from turnwise.lineage import new_folder
 from turnwise.operators import chunks, evals, findings, motion, records, runlog
 from turnwise.operators.ordered import int_segment
 from turnwise.plans.log_queries import kind_events
 from turnwise.plans.registry import query, table
+from turnwise.sources import chunk_files
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
@@ -471,3 +473,13 @@ def chunk_assign(spark, sf_dir):
 def chunk_ranges(spark, sf_dir):
     """Line ranges of the chunks."""
     return chunks.chunk_ranges(chunks.chunk_assign(session_sizes(spark, sf_dir), 60, "shelf"), "shelf")
+
+
+@query(CHUNKS + """SELECT CAST(shelf AS VARCHAR) AS shelf, chunk, MIN(start) + 1 AS first_line, MAX(start + n) AS last_line, CAST(SUM(bytes) AS BIGINT) AS bytes
+FROM r JOIN (SELECT conv_id AS session, SUM(strlen(text) + 1) AS bytes FROM conversations GROUP BY 1) USING (session) GROUP BY 1, 2""")
+def chunk_manifest(spark, sf_dir):
+    """Conversations written as chunk files: the lines and bytes of each chunk, as the published manifest has them."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 3).alias("shelf"), F.col("conv_id").alias("session"), "turn", "text")
+    cut = chunks.chunk_assign(session_sizes(spark, sf_dir), 60, "shelf")
+    manifest = chunk_files.publish_chunks(turns, cut, new_folder(spark, "chunks"), ("shelf", "session"), ("turn",))
+    return manifest.groupBy("shelf", "chunk").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.sum("bytes").alias("bytes"))
