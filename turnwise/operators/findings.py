@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise import lexicons as lx
+from turnwise.lineage import durable
 from turnwise.operators.ordered import carry, lookup, range_segments
 
 
@@ -107,6 +108,49 @@ def shard_plan(files: DataFrame, n: int = 3, round_no: int = 0) -> DataFrame:
     return lookup(files, placed, ["area"], ["path"], "inner").select("path", "area", "lines", "shard")
 
 
+def largest_first(files: DataFrame, n: int = 3, round_no: int = 0) -> DataFrame:
+    """Files in ``n`` shards, the fullest at most 4/3 of the best possible; an area stays in one shard, shards rotate by round.
+
+    ``files``: path, area, lines (null: 0). Areas of more than a third of a shard's even part are fewer than 3 n: the largest first, each goes to the
+    emptiest shard, all within one row. The others lie end to end on a line, in order, and fill the shards up to one level like
+    water; an area goes where its first line lies, so a shard rises over the level by less than one of them. The level is at
+    most the even part, which no plan stays under. Ties go by area, then by shard; a null area is an area.
+    """
+    if n < 1:
+        raise ValueError("files go into 1 shard or more")
+    areas = durable(files.groupBy("area").agg(F.coalesce(F.sum("lines"), F.lit(0)).cast("bigint").alias("lines")))
+    whole = F.coalesce(areas.agg(F.sum("lines")).scalar(), F.lit(0))
+    is_large = F.col("lines") * (3 * n) > whole
+    zero, key = F.lit(0).cast("bigint"), F.struct((-F.col("lines")).alias("less"), "area")
+
+    def place(state: Column, item: Column) -> Column:
+        emptiest = F.array_position(state["loads"], F.array_min(state["loads"])) - 1
+        loads = F.transform(state["loads"], lambda load, i: F.when(i == emptiest, load - item["less"]).otherwise(load))
+        return F.struct(loads.alias("loads"), F.array_append(state["shards"], emptiest).alias("shards"))
+
+    def first(values: Column, k: Column) -> Column:
+        return F.aggregate(F.slice(values, 1, k), zero, lambda total, v: total + v)
+
+    start = F.struct(F.array_repeat(zero, n).alias("loads"), F.array().cast("array<bigint>").alias("shards"))
+    counts = F.sequence(F.lit(1), F.lit(n))
+    plan = areas.where(is_large).agg(F.sort_array(F.collect_list(key)).alias("items")).withColumn("state", F.aggregate("items", start, place))
+    plan = plan.select("items", "state.shards", F.col("state.loads").alias("loads"), F.sort_array("state.loads").alias("rising"))
+    rest = whole - F.aggregate("loads", zero, lambda total, v: total + v)
+    # With the k emptiest shards filled the level would be (rest + their loads) / k; the least of these is the level.
+    plan = plan.withColumn("rest", rest).withColumn("level", F.array_min(F.transform(
+        counts, lambda k: F.floor((F.col("rest") + first(F.col("rising"), k) + k - 1) / k))))
+    plan = plan.withColumn("room", F.transform("loads", lambda load: F.greatest(zero, F.col("level") - load)))
+    plan = durable(plan.withColumn("ends", F.transform(counts, lambda k: first(F.col("room"), k))))
+
+    large = plan.select(F.explode(F.arrays_zip("items", "shards")).alias("x")).select("x.items.area", F.col("x.shards").alias("shard"))
+    cut = range_segments(areas.where(~is_large).withColumn("_all", F.lit(0)), ["area"])
+    run = carry(cut, ["_all"], ["area"], F.col("_seg"), total={"upto": F.col("lines")})
+    passed = F.size(F.filter("ends", lambda end: end <= F.col("upto") - F.col("lines"))).cast("bigint")
+    small = run.withColumn("ends", plan.select("ends").scalar()).select("area", F.least(passed, F.lit(n - 1)).alias("shard"))
+    placed = large.unionByName(small).select(F.struct("area").alias("_area"), F.pmod(F.col("shard") + round_no, F.lit(n)).cast("int").alias("shard"))
+    return lookup(files.withColumn("_area", F.struct("area")), placed, ["_area"], ["path"], "inner").select("path", "area", "lines", "shard")
+
+
 def coverage_percent(scope: DataFrame, read: DataFrame) -> DataFrame:
     """Files read as a percentage of the files in scope, per round. ``read``: round, path."""
     want = scope.select("path").distinct()

@@ -483,3 +483,27 @@ def chunk_manifest(spark, sf_dir):
     cut = chunks.chunk_assign(session_sizes(spark, sf_dir), 60, "shelf")
     manifest = chunk_files.publish_chunks(turns, cut, new_folder(spark, "chunks"), ("shelf", "session"), ("turn",))
     return manifest.groupBy("shelf", "chunk").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.sum("bytes").alias("bytes"))
+
+
+@query("""
+WITH RECURSIVE f AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 64 >= 32 THEN 'a' WHEN doc_id % 64 >= 16 THEN 'b' WHEN doc_id % 64 >= 8 THEN 'c'
+  ELSE 'd' || lpad(CAST(doc_id % 512 AS VARCHAR), 3, '0') END AS area FROM documents),
+a AS (SELECT area, CAST(SUM(n_chars) AS BIGINT) AS n FROM f GROUP BY 1),
+w AS (SELECT CAST(SUM(n) AS BIGINT) AS whole FROM a),
+g AS (SELECT area, n, ROW_NUMBER() OVER (ORDER BY n DESC, area) AS i FROM a, w WHERE n * 9 > whole),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS area, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS z, -1 AS shard
+      UNION ALL SELECT g.i, g.area, CASE WHEN x <= y AND x <= z THEN x + n ELSE x END, CASE WHEN x > y AND y <= z THEN y + n ELSE y END,
+        CASE WHEN x > z AND y > z THEN z + n ELSE z END, CASE WHEN x <= y AND x <= z THEN 0 WHEN y <= z THEN 1 ELSE 2 END
+      FROM r JOIN g ON g.i = r.i + 1),
+l AS (SELECT x, y, z, whole - x - y - z AS rest FROM r, w WHERE i = (SELECT MAX(i) FROM r)),
+v AS (SELECT *, least(rest + least(x, y, z), (rest + x + y + z - greatest(x, y, z) + 1) // 2, (rest + x + y + z + 2) // 3) AS level FROM l),
+e AS (SELECT greatest(0, level - x) AS e1, greatest(0, level - x) + greatest(0, level - y) AS e2 FROM v),
+s AS (SELECT area, SUM(n) OVER (ORDER BY area) - n AS begins FROM a, w WHERE n * 9 <= whole),
+p AS (SELECT area, shard FROM r WHERE i > 0 UNION ALL SELECT area, CASE WHEN begins < e1 THEN 0 WHEN begins < e2 THEN 1 ELSE 2 END FROM s, e)
+SELECT doc_id AS path, (shard + 1) % 3 AS shard FROM f JOIN p USING (area)""")
+def largest_first(spark, sf_dir):
+    """Documents of areas from half of all lines down to a few, in three shards with the largest placed first, second round."""
+    m = F.col("doc_id") % 64
+    area = F.when(m >= 32, "a").when(m >= 16, "b").when(m >= 8, "c").otherwise(F.concat(F.lit("d"), F.lpad((F.col("doc_id") % 512).cast("string"), 3, "0")))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), area.alias("area"), F.col("n_chars").alias("lines"))
+    return findings.largest_first(files, 3, 1).select("path", "shard")
