@@ -27,20 +27,22 @@ def plan_tables(spark, sf_dir) -> PlanTables:
         (F.col("o_orderkey") % 4).cast("int").alias("out_of_scope"), (F.col("o_orderkey") % 2).cast("int").alias("open_questions"))
     tree_of = project.select(F.col("o_orderkey").alias("l_orderkey"), "tree")
     lines = line.join(tree_of, "l_orderkey")
-    parts = part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
+    parts = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("text"),
+                        (F.col("p_size") > 40).alias("dropped"), (F.col("p_size") < 5).alias("deferred")).distinct()
     # A project owns the requirements of its returned and open lines; accepted lines cite without one.
-    requirements = lines.where("l_returnflag <> 'A'").join(parts, "l_partkey").select(
-        "tree", s("l_orderkey").alias("project"), s("l_partkey").alias("req"), F.col("p_name").alias("text"),
-        (F.col("p_size") > 40).alias("dropped"), (F.col("p_size") < 5).alias("deferred")).distinct()
+    # Rows are made distinct while they still lie by order key, before the parts' texts join and keys become strings.
+    requirements = lines.where("l_returnflag <> 'A'").select("tree", "l_orderkey", "l_partkey").distinct().join(parts, "l_partkey").select(
+        "tree", s("l_orderkey").alias("project"), s("l_partkey").alias("req"), "text", "dropped", "deferred")
     kind = F.when(F.col("l_linenumber") == 7, "prototype").when(F.col("l_linenumber") == 6, "chore").otherwise("build")
     item = F.concat_ws("-", s("l_linenumber"), s("l_suppkey"), s("l_partkey"))
-    rows = lines.select("tree", s("l_orderkey").alias("project"), item.alias("item"), kind.alias("kind"),
-                        F.lit(1).alias("n_cited"), F.when(F.col("l_tax") > 0.02, "x").alias("you_see"),
+    rows = lines.select("tree", "l_orderkey", item.alias("item"), kind.alias("kind"), F.when(F.col("l_tax") > 0.02, "x").alias("you_see"),
                         (F.col("l_quantity") / 8).cast("int").alias("done_when"),
-                        (F.col("l_extendedprice") / 40).cast("int").alias("chars"), s("l_partkey").alias("req"),
-                        F.array().cast("array<string>").alias("blocked_by"), "l_linestatus")
-    items = rows.drop("req").distinct()
-    citations = rows.where("l_linestatus = 'O'").select("tree", "project", "item", "kind", "req")
+                        (F.col("l_extendedprice") / 40).cast("int").alias("chars"), s("l_partkey").alias("req"), "l_linestatus")
+    project_of = s("l_orderkey").alias("project")
+    items = rows.drop("req").distinct().select(
+        "tree", project_of, "item", "kind", F.lit(1).alias("n_cited"), "you_see", "done_when", "chars",
+        F.array().cast("array<string>").alias("blocked_by"), "l_linestatus")
+    citations = rows.where("l_linestatus = 'O'").select("tree", project_of, "item", "kind", "req")
     return PlanTables(products, features, projects, requirements, items, citations)
 
 
@@ -154,7 +156,7 @@ SELECT p.tree, COUNT(*) FILTER (WHERE level = 'problem') AS problems, COUNT(*) F
        COUNT(*) FILTER (WHERE level = 'problem') = 0 AS ok FROM products p LEFT JOIN a USING (tree) GROUP BY 1""")
 def tree_report(spark, sf_dir):
     """Problems and notes per market segment."""
-    t = plan_tables(spark, sf_dir)
+    t = plan_tables(spark, sf_dir).stored()
     return trees.tree_report(t.products, trees.plan_findings(t))
 
 
