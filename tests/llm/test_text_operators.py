@@ -366,3 +366,10 @@ def test_media_rows(docs, nothing, run, plain):
         padded = raw + bytes(-len(raw) % 64 or 64 * (not raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (
             len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+def test_fit_keeps_a_word_of_many_texts_once():
+    """The fit runs on the driver: a string for each place of a word took most of its memory."""
+    (_, one), (_, two) = toxicity._distinct(["Common words here, common again", "other common things"])
+    assert one == ["common", "words", "here", "again"] and two == ["other", "common", "things"]
+    assert one[0] is two[1]

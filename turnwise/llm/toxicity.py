@@ -12,6 +12,7 @@ what both share costs the same in both and would only add noise.
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -62,7 +63,7 @@ def _code(word: str) -> bytes:
     return code
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=2)  # a model's two
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     if not dictionary:
         return zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
@@ -95,7 +96,10 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def _distinct(texts: list[str]) -> list[tuple[str, list[str]]]:
-    """Texts with their words, without near copies of an earlier one: copies would make their rare words look typical."""
+    """Texts with their words, without near copies of an earlier one: copies would make their rare words look typical.
+
+    A word that many texts hold is one object: the fit runs on the driver, where a string for each of its places takes most of the memory.
+    """
     seen: set[tuple[int, int]] = set()
     out = []
     for text in texts:
@@ -103,7 +107,7 @@ def _distinct(texts: list[str]) -> list[tuple[str, list[str]]]:
         grams = {zlib.crc32(" ".join(found[i:i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(found) - 4))}
         marks = {(k, min(g * k & 0xFFFFFFFF for g in grams)) for k in (2654435761, 2246822519)}
         if not marks & seen:
-            out.append((text, list(dict.fromkeys(found))))
+            out.append((text, list(map(sys.intern, dict.fromkeys(found)))))
         seen |= marks
     return out
 
