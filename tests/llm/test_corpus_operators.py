@@ -334,3 +334,37 @@ def test_packing_rows(docs, nothing, encode):
     check_packing(pieces, {r["doc_id"]: encode(r["text"] or "") for r in once.collect()})
     assert packing.pack(docs).agg(F.sum("length")).first()[0] == sum(len(encode(r["text"] or "")) for r in docs.collect())
     assert packing.pack(nothing).count() == 0
+
+
+def test_join_moves_and_keeps_no_more_than_it_needs(spark, monkeypatch):
+    """Shingles are not kept on disk, whole rows that are met once are not dealt anew, and joins without broadcasts find the same."""
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:k], f"x{k}", *base[k + 1:]]) for k in (0, 59)]
+    rows = [(9, " ".join(base)), (4, near[0]), (7, near[1]), (7, near[1]), (2, "other words stand here alone"), (5, near[0]), (8, None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, real = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df: kept.append(df.columns) or real(df))
+    found = jaccard_join.one_of_each(docs)
+    assert kept and not any("shingles" in columns for columns in kept)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in plan and "BroadcastHashJoin" in plan
+    want = sorted(map(str, found.collect()))
+    assert sorted(map(str, [r["doc_id"] for r in found.collect()])) == ["2", "4", "8", "None"]
+    monkeypatch.setattr(jaccard_join, "FEW", -1)
+    monkeypatch.setattr(jaccard_join, "FEW_NODES", -1)
+    assert sorted(map(str, jaccard_join.one_of_each(docs).collect())) == want
+
+
+def test_few_nodes_take_few_tasks(spark, monkeypatch):
+    dealt, real = [], jaccard_join.durable
+    monkeypatch.setattr(jaccard_join, "durable", lambda df: dealt.append(real(df)) or dealt[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 30)], "a long, b long")
+        assert {tuple(r) for r in jaccard_join.components(links).collect()} == {(i, 0) for i in range(21)} | {(30, 30), (40, 30)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(x.rdd.getNumPartitions() <= 16 for x in dealt[2:])

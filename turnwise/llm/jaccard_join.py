@@ -31,6 +31,7 @@ SEEDS = 8  # deals tried before a set with too many empty segments meets its lik
 SKETCH = 1024  # bits
 BLOCK = 256  # sets of a block in the last comparison
 FEW = 4_000_000  # ids of 8 bytes each that are broadcast at most
+FEW_NODES = 500_000  # nodes with their labels that are broadcast at most
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -175,11 +176,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = durable(links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(
         links.select(F.col(b), F.col(a))).where(F.col("node") != F.col("other")).distinct())
     labels = durable(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+    nodes = labels.count()
+    near = F.broadcast if nodes <= FEW_NODES else lambda table: table
+    # each round starts several jobs, and the driver keeps a record of every task: few rows are read in few tasks
+    dealt = lambda table: table.coalesce(max(16, nodes // 100_000))
+    both, labels = dealt(both), dealt(labels)
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("_l")), "other").groupBy("node").agg(F.min("_l").alias("_near"))
-        nearer = labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_to"))
+        least = both.join(near(labels.select(F.col("node").alias("other"), F.col("label").alias("_l"))), "other").groupBy("node").agg(F.min("_l").alias("_near"))
+        nearer = least.join(near(labels), "node").select("node", "label", F.least("label", "_near").alias("_to"))
         ends = labels.select(F.col("node").alias("_to"), F.col("label").alias("_end"))
-        moved = durable(nearer.join(ends, "_to").select("node", F.least("_to", "_end").alias("new"), "label"))
+        moved = durable(dealt(nearer.join(near(ends), "_to").select("node", F.least("_to", "_end").alias("new"), "label")))
         changed = moved.where("new <> label").limit(1).count()
         labels = moved.select("node", F.col("new").alias("label"))
         if not changed:
@@ -195,15 +201,14 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, alike: int, of: int) -> DataFrame:
-    """The pairs (a, b) of sets that are linked; the sketch's bound comes before the sets are fetched."""
+def _verified(pairs: DataFrame, sizes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], alike: int, of: int) -> DataFrame:
+    """The pairs (a, b) of sets that are linked; the sketch's bound comes first, and only sets it lets through are fetched."""
     one = sizes.select(F.col("set").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     two = sizes.select(F.col("set").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = stored(pairs.join(one, "a").join(two, "b").where(
         (of + alike) * apart <= (of - alike) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
-    needed = stored(near.select(F.col("a").alias("set")).union(near.select("b")).distinct())
-    sets = sets.join(_few(needed), "set", "left_semi")
+    sets = sets_of(stored(near.select(F.col("a").alias("set")).union(near.select("b")).distinct()))
     inter = F.size(F.array_intersect("_x", "_y"))
     return (near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("_x")), "a")
             .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("_y")), "b")
@@ -270,12 +275,17 @@ def join_alike(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, o
     classes = (sketched.join(wanted, "set").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     classes = stored(classes)
-    named = docs.join(_few(classes.select("doc_id")), "doc_id", "left_semi")
-    texts = named.unionByName(docs.where(F.col("doc_id").isNull()))  # a set may only be in rows without doc_id
-    sets = stored(texts.select("text").mapInArrow(_sets(width), "set bigint, shingles array<bigint>").join(wanted, "set").dropDuplicates(["set"]))
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """The shingles of the needed sets, made anew from one document of each: kept for all classes they would take as much disk as the texts."""
+        near = F.broadcast if needed.count() <= FEW else lambda ids: ids
+        named = docs.join(near(classes.join(near(needed), "set", "left_semi").select("doc_id")), "doc_id", "left_semi")
+        texts = named.unionByName(docs.where(F.col("doc_id").isNull()))  # a set may only be in rows without doc_id
+        made = texts.select("text").mapInArrow(_sets(width), "set bigint, shingles array<bigint>")
+        return made.join(near(needed), "set", "left_semi").dropDuplicates(["set"])
 
     best = circles.groupBy("set").agg(F.max(F.struct("lead", "leader")).alias("m")).select(F.col("set").alias("a"), F.col("m.leader").alias("b")).where("a <> b")
-    links = durable(_verified(best, classes, sets, alike, of).distinct())
+    links = durable(_verified(best, classes, sets_of, alike, of).distinct())
     labels = components(links)
 
     def open_circles(labels: DataFrame) -> DataFrame:
@@ -288,12 +298,12 @@ def join_alike(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, o
     if not still.isEmpty():
         lead_label = still.where("leader = set").select("leader", F.col("label").alias("_lead"))
         second = still.join(lead_label, "leader").where("label <> _lead").select(F.col("set").alias("a"), F.col("leader").alias("b"))
-        more = durable(_verified(second.join(best, ["a", "b"], "left_anti").distinct(), classes, sets, alike, of).distinct())
+        more = durable(_verified(second.join(best, ["a", "b"], "left_anti").distinct(), classes, sets_of, alike, of).distinct())
         if not more.isEmpty():
             links = durable(links.union(more))
             labels = components(links)
             still = durable(open_circles(labels).select("leader", "set", "label").distinct())
-        last = durable(_verified(_rest(still, classes, alike, of), classes, sets, alike, of).distinct())
+        last = durable(_verified(_rest(still, classes, alike, of), classes, sets_of, alike, of).distinct())
         if not last.isEmpty():
             labels = components(links.union(last))
 
@@ -308,7 +318,11 @@ def one_of_each(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE,
 
     Documents without a word stay, and so do rows without doc_id.
     """
-    kept = join_alike(documents, width, alike, of).where("doc_id = component_id").select("doc_id").distinct()
-    named = boxed(documents.where(F.col("doc_id").isNotNull()), "doc_id").join(kept, "doc_id", "left_semi")
-    first = named.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_row"))).where("_nth = 1")
-    return unboxed(first, documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
+    fate = join_alike(documents, width, alike, of).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    odd = stored(fate.where(~F.col("stays") | (F.col("n") > 1)))  # few beside the rows that stay as they are, whose texts need not move
+    named = boxed(documents.where(F.col("doc_id").isNotNull()), "doc_id")
+    repeated = named.join(_few(odd.where("stays").select("doc_id")), "doc_id", "left_semi")
+    first = repeated.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_row"))).where("_nth = 1").drop("_nth")
+    once = named.join(_few(odd.select("doc_id")), "doc_id", "left_anti")
+    return unboxed(once.unionByName(first), documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
