@@ -1,6 +1,8 @@
 """Operators in which rows meet."""
 import hashlib
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from turnwise import lineage
 from turnwise.llm import fingerprints, jaccard_join, mixing, packing
 
 
@@ -368,3 +371,72 @@ def test_few_nodes_take_few_tasks(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert all(x.rdd.getNumPartitions() <= 16 for x in dealt[2:])
+
+
+def bits_apart(x, y):
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
+@pytest.mark.parametrize("size", [1100, 2040, 5000])
+def test_wide_sketches_bound_long_sets(size):
+    """They fold into narrower ones, never say more than the sets' difference, and tell sets apart for which SKETCH bits are too few."""
+    rng = np.random.default_rng(size)
+    a = np.unique(rng.integers(1, 1 << 63, size, dtype=np.uint64))
+    wide = jaccard_join.wide_sketch(a)
+    assert wide.size * 64 >= len(a)
+    while wide.size * 64 > jaccard_join.SKETCH:
+        wide = wide[:wide.size // 2] ^ wide[wide.size // 2:]
+    assert wide.tolist() == jaccard_join.bit_sketch(a).tolist() and jaccard_join.wide_sketch(a[:jaccard_join.SKETCH]) is None
+    for change in (3, size // 10, size // 2):
+        b = np.concatenate([a[change:], rng.integers(1, 1 << 63, change, dtype=np.uint64)])
+        x, y = jaccard_join.wide_sketch(a), jaccard_join.wide_sketch(b)
+        assert bits_apart(x, y) <= 2 * change
+    allowed = 20 * 2 * size / 180
+    assert bits_apart(x, y) > allowed  # half of b is not in a
+    assert size < 5000 or bits_apart(jaccard_join.bit_sketch(a), jaccard_join.bit_sketch(b)) <= allowed
+
+
+def test_only_likely_pairs_fetch_sets(spark):
+    """Long texts that share a key but too few shingles are told apart before their shingles are dealt; linked ones of other widths are found."""
+    texts = [[f"w{i}" for i in range(5000)], [f"w{i}" for i in range(2500)] + [f"v{i}" for i in range(2500)], [f"w{i}" for i in range(4000)]]
+    sets = [jaccard_join.shingle_set(" ".join(t).encode()) for t in texts]
+    rows = [(i, len(s), jaccard_join.bit_sketch(s).tolist(), jaccard_join.wide_sketch(s).tolist()) for i, s in enumerate(sets)]
+    assert len(rows[0][3]) == 2 * len(rows[2][3])
+    sizes = lineage.stored(spark.createDataFrame(rows, "set long, n_shingles long, sketch array<long>, wide array<long>"))
+    shingles = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "set long, shingles array<long>")
+    fetched = []
+
+    def sets_of(needed):
+        fetched.extend(r["set"] for r in needed.collect())
+        return shingles.join(needed, "set", "left_semi")
+
+    links = jaccard_join._verified(spark.createDataFrame([(0, 1), (2, 0), (1, 2)], "a long, b long"), sizes, sets_of, 79, 100)
+    assert [tuple(r) for r in links.collect()] == [(2, 0)] and sorted(fetched) == [0, 2]
+
+
+def test_join_leaves_no_tables_behind(spark, docs):
+    """Tables that the join works with are deleted, also its keys, while what it returns can still be read."""
+    folder = lineage.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = jaccard_join.join_alike(docs)
+    left = [f for f in set(os.listdir(folder)) - before if f.startswith("table-")]
+    assert len(left) == 1 and found.count() == docs.count() and found.columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def shuffle_files(spark):
+    tops = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    return {f for top in tops for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("write", [lineage.stored, lineage.durable])
+def test_written_tables_leave_no_shuffle_files(spark, write):
+    """They go when the table is written, not when the driver's garbage is collected; the session's setting stays."""
+    dealt = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before, setting = shuffle_files(spark), spark.conf.get(lineage.FREED, None)
+    table = write(dealt)
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(lineage.FREED, None) == setting
+    assert sum(r["count"] for r in table.collect()) == 1000

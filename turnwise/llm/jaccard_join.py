@@ -12,23 +12,23 @@ all. Only buckets that are still in several components afterwards compare their
 """
 from collections.abc import Callable, Iterator
 from functools import cache
-from math import exp, sqrt
+from math import ceil, exp, log2, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.lineage import durable, stored
+from turnwise.lineage import durable, removed, stored
 from turnwise.llm.common import boxed, unboxed, whole
 
 SHINGLE = 4  # words
 ALIKE, OF = 85, 100  # linked from OF * intersection >= ALIKE * union
 RATIO = 1.5  # sizes of a band
 SEEDS = 8  # deals tried before a set with too many empty segments meets its like directly
-SKETCH = 1024  # bits
+SKETCH = 1024  # bits; sets of more shingles also have a wide sketch
 BLOCK = 256  # sets of a block in the last comparison
 FEW = 4_000_000  # ids of 8 bytes each that are broadcast at most
 FEW_NODES = 500_000  # nodes with their labels that are broadcast at most
@@ -128,13 +128,21 @@ def segment_keys(shingles: np.ndarray, alike: int = ALIKE, of: int = OF) -> np.n
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH bits; each shingle flips one, so the Hamming distance of two sketches is at most the sets' difference."""
-    at = (_mixed(shingles ^ _ODD[2]) % np.uint64(SKETCH)).astype(np.int64)
-    odd = (np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)
+def bit_sketch(shingles: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """``bits`` bits; each shingle flips one, so the Hamming distance of two sketches is at most the sets' difference."""
+    at = (_mixed(shingles ^ _ODD[2]) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def wide_sketch(shingles: np.ndarray) -> np.ndarray | None:
+    """For more than SKETCH shingles, a sketch of a power of two of bits, one per shingle at least; its halves, XORed, are the sketch of half as many bits.
+
+    In SKETCH bits the distance of two sets that differ in many more shingles is about SKETCH / 2 whether they are linked or not.
+    """
+    return bit_sketch(shingles, 1 << (len(shingles) - 1).bit_length()) if len(shingles) > SKETCH else None
+
+
 def _set_id(shingles: np.ndarray) -> int:
     """64 bits that stand for the whole set."""
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
@@ -143,17 +151,19 @@ def _set_id(shingles: np.ndarray) -> int:
 def _sketched(width: int, alike: int, of: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            ids, sizes, sets, sketches, keys = [], [], [], [], []
+            ids, sizes, sets, sketches, wide, keys = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 found = shingle_set(text, width)
                 ids.append(doc_id)
                 sizes.append(len(found))
                 sets.append(_set_id(found) if len(found) else None)
                 sketches.append(bit_sketch(found))
+                wide.append(wide_sketch(found))
                 keys.append(segment_keys(found, alike, of).view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
-                pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set", "sketch", "keys"])
+                pa.array(sketches, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())),
+                pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set", "sketch", "wide", "keys"])
     return batches
 
 
@@ -201,18 +211,31 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
+def _halved(sketch: Column, words: Column) -> Column:
+    """The sketch of half as many bits if it has more than ``words`` words."""
+    half = F.size(sketch) / 2
+    return F.when(F.size(sketch) > words, F.zip_with(
+        F.slice(sketch, F.lit(1), half.cast("int")), F.slice(sketch, (half + 1).cast("int"), half.cast("int")), lambda x, y: x.bitwiseXOR(y))).otherwise(sketch)
+
+
 def _verified(pairs: DataFrame, sizes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], alike: int, of: int) -> DataFrame:
     """The pairs (a, b) of sets that are linked; the sketch's bound comes first, and only sets it lets through are fetched."""
-    one = sizes.select(F.col("set").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-    two = sizes.select(F.col("set").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
+    best = F.coalesce("wide", "sketch")
+    one = sizes.select(F.col("set").alias("a"), F.col("n_shingles").alias("n_a"), best.alias("s_a"))
+    two = sizes.select(F.col("set").alias("b"), F.col("n_shingles").alias("n_b"), best.alias("s_b"))
+    met = pairs.join(one, "a").join(two, "b").where(of * F.least("n_a", "n_b") >= alike * F.greatest("n_a", "n_b"))
+    for _ in range(ceil(log2(of / alike))):  # sizes that pass are at most this often doubled
+        met = met.withColumns({"s_a": _halved(F.col("s_a"), F.size("s_b")), "s_b": _halved(F.col("s_b"), F.size("s_a"))})
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = stored(pairs.join(one, "a").join(two, "b").where(
-        (of + alike) * apart <= (of - alike) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
-    sets = sets_of(stored(near.select(F.col("a").alias("set")).union(near.select("b")).distinct()))
+    near = stored(met.where((of + alike) * apart <= (of - alike) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"))
+    needed = stored(near.select(F.col("a").alias("set")).union(near.select("b")).distinct())
+    sets = sets_of(needed)
     inter = F.size(F.array_intersect("_x", "_y"))
-    return (near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("_x")), "a")
-            .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("_y")), "b")
-            .where(_alike(inter, F.col("n_a"), F.col("n_b"), alike, of)).select("a", "b"))
+    linked = durable(near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("_x")), "a")
+                     .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("_y")), "b")
+                     .where(_alike(inter, F.col("n_a"), F.col("n_b"), alike, of)).select("a", "b").distinct())
+    removed(near, needed)
+    return linked
 
 
 def _block_pairs(pdf: pd.DataFrame, alike: int = ALIKE, of: int = OF) -> pd.DataFrame:
@@ -258,22 +281,26 @@ def join_alike(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, o
     others and null if there are none. An empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text"))
-    sketched = stored(docs.mapInArrow(_sketched(width, alike, of), "doc_id bigint, n_shingles bigint, set bigint, sketch array<bigint>, keys array<bigint>"))
+    found = stored(docs.mapInArrow(
+        _sketched(width, alike, of), "doc_id bigint, n_shingles bigint, set bigint, sketch array<bigint>, wide array<bigint>, keys array<bigint>"))
 
-    keyed = sketched.where(F.col("set").isNotNull()).select("set", F.explode("keys").alias("key"))
+    keyed = found.where(F.col("set").isNotNull()).select("set", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     shared = stored(keyed.withColumn("_least", F.min("set").over(bucket)).withColumn("_most", F.max("set").over(bucket))
                     .where("_least <> _most").select("key", "set").distinct())
+    sketched = stored(found.drop("keys"))
+    removed(found)  # nearly as many bytes as the documents
     sizes_of = shared.groupBy("key").agg((F.count("*") - 1).alias("_met"))
     fame = shared.join(sizes_of, "key").groupBy("set").agg(F.sum("_met").alias("fame"))
     led = shared.join(fame, "set")
     leaders = led.groupBy("key").agg(F.max(F.struct("fame", "set")).alias("m")).select(
         "key", F.col("m.set").alias("leader"), F.col("m.fame").alias("lead"))
     circles = stored(shared.join(leaders, "key"))
+    removed(shared)
 
     wanted = circles.select("set").distinct()
     classes = (sketched.join(wanted, "set").groupBy("set").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
     classes = stored(classes)
 
     def sets_of(needed: DataFrame) -> DataFrame:
@@ -285,7 +312,7 @@ def join_alike(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, o
         return made.join(near(needed), "set", "left_semi").dropDuplicates(["set"])
 
     best = circles.groupBy("set").agg(F.max(F.struct("lead", "leader")).alias("m")).select(F.col("set").alias("a"), F.col("m.leader").alias("b")).where("a <> b")
-    links = durable(_verified(best, classes, sets_of, alike, of).distinct())
+    links = _verified(best, classes, sets_of, alike, of)
     labels = components(links)
 
     def open_circles(labels: DataFrame) -> DataFrame:
@@ -298,19 +325,21 @@ def join_alike(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, o
     if not still.isEmpty():
         lead_label = still.where("leader = set").select("leader", F.col("label").alias("_lead"))
         second = still.join(lead_label, "leader").where("label <> _lead").select(F.col("set").alias("a"), F.col("leader").alias("b"))
-        more = durable(_verified(second.join(best, ["a", "b"], "left_anti").distinct(), classes, sets_of, alike, of).distinct())
+        more = _verified(second.join(best, ["a", "b"], "left_anti").distinct(), classes, sets_of, alike, of)
         if not more.isEmpty():
             links = durable(links.union(more))
             labels = components(links)
             still = durable(open_circles(labels).select("leader", "set", "label").distinct())
-        last = durable(_verified(_rest(still, classes, alike, of), classes, sets_of, alike, of).distinct())
+        last = _verified(_rest(still, classes, alike, of), classes, sets_of, alike, of)
         if not last.isEmpty():
             labels = components(links.union(last))
 
     rows = sketched.select("doc_id", "n_shingles", "set").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    first = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(first, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = stored(rows.join(least, "label", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    removed(sketched, circles, classes)
+    return named
 
 
 def one_of_each(documents: DataFrame, width: int = SHINGLE, alike: int = ALIKE, of: int = OF) -> DataFrame:
